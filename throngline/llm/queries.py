@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import decontam, neardup
 
 QUERIES = {
     "op1_decontamination": decontam.op1,
+    "op9_near_duplicates": neardup.op9,
 }
 ORACLES = {
     "op1_decontamination": decontam.OP1_SQL,
+    "op9_near_duplicates": neardup.OP9_SQL,
 }
