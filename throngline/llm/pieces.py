@@ -20,7 +20,9 @@ from __future__ import annotations
 import re
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .text import table
@@ -169,24 +171,25 @@ def _shared(spark: SparkSession, model_path: str | None):
         return spark.sparkContext.broadcast(Transducer(f.read()))
 
 
+def _encoded(column: pa.Array, t: Transducer) -> tuple[pa.Array, list[int]]:
+    """The ids of a batch of texts, held as Arrow arrays text by text, and the numbers of byte pieces."""
+    is_byte, ids, n = pa.array(sorted(t.of_byte), pa.int32()), [], []
+    for value in column:
+        own = None if value.as_py() is None else pa.array(t.encode(value.as_py()), pa.int32())
+        ids.append(own)
+        n.append(0 if own is None else pc.sum(pc.is_in(own, value_set=is_byte)).as_py() or 0)
+    ends = np.cumsum([0] + [0 if x is None else len(x) for x in ids]).astype(np.int32)
+    flat = pa.concat_arrays([x for x in ids if x is not None] or [pa.array([], pa.int32())])
+    return pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([x is None for x in ids], pa.bool_())), n
+
+
 def encode(docs: DataFrame, text: str = "text", model_path: str | None = None, out: str = "code") -> DataFrame:
     """`docs` with the struct column `out` (ids, n_bytes)."""
     shared = _shared(docs.sparkSession, model_path)
 
     @F.arrow_udf(_CODE_TYPE)
     def encoded(column: pa.Array) -> pa.Array:
-        t = shared.value
-        is_byte = t.of_byte.keys()
-        ids, n = [], []
-        for value in column:
-            value = value.as_py()
-            own = None if value is None else pa.array(t.encode(value), pa.int32())
-            ids.append(own)
-            n.append(0 if own is None else sum(x in is_byte for x in own.unique().to_pylist()) and sum(map(is_byte.__contains__, own.to_pylist())))
-        lengths = pa.array([0] + [0 if x is None else len(x) for x in ids], pa.int32())
-        ends = pa.array(lengths.to_numpy().cumsum(), pa.int32(), mask=None)
-        flat = pa.concat_arrays([x for x in ids if x is not None] or [pa.array([], pa.int32())])
-        lists = pa.ListArray.from_arrays(ends, flat, mask=pa.array([x is None for x in ids], pa.bool_()))
+        lists, n = _encoded(column, shared.value)
         return pa.StructArray.from_arrays([lists, pa.array(n, pa.int64())], fields=list(_CODE))
 
     return docs.withColumn(out, encoded(F.col(text)))
@@ -203,8 +206,25 @@ def decode(coded: DataFrame, ids: str = "ids", model_path: str | None = None, ou
     return coded.withColumn(out, decoded(F.col(ids)))
 
 
+def coded(docs: DataFrame, text: str = "text", model_path: str | None = None) -> DataFrame:
+    """`docs` with the columns ids, n_tokens (0 for a null text), n_bytes (byte pieces) and round_trip (the ids decode to the text).
+
+    Encoding and decoding are one pass, so that the text is read once and never kept beside its ids.
+    """
+    shared = _shared(docs.sparkSession, model_path)
+    fields = [*_CODE, pa.field("same", pa.bool_())]
+
+    @F.arrow_udf(T.StructType([*_CODE_TYPE.fields]).add("same", T.BooleanType()))
+    def both(column: pa.Array) -> pa.Array:
+        t = shared.value
+        lists, n = _encoded(column, t)
+        same = [own.as_py() is None or t.decode(ids) == own.as_py() for own, ids in zip(column, (x.as_py() for x in lists), strict=True)]
+        return pa.StructArray.from_arrays([lists, pa.array(n, pa.int64()), pa.array(same, pa.bool_())], fields=fields)
+
+    d = docs.withColumn("_code", both(F.col(text)))
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_code.ids").alias("ids"), F.coalesce(F.size("_code.ids"), F.lit(0)).cast("long").alias("n_tokens"), F.col("_code.n_bytes").alias("n_bytes"), F.col("_code.same").alias("round_trip"))
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether decoding gives its text back."""
-    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "code.ids", "code.n_bytes")
-    back = decode(coded)
-    return back.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.col("n_bytes"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    return coded(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")

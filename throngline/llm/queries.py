@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontam, neardup
+from . import decontam, langid, neardup, pieces, pii, quality, toxicity
 
 QUERIES = {
     "op1_decontamination": decontam.op1,
+    "op2_sentencepiece": pieces.op2,
+    "op3_quality_rules": quality.op3,
+    "op4_language_id": langid.op4,
+    "op8_toxicity": toxicity.op8,
     "op9_near_duplicates": neardup.op9,
+    "op10_personal_data": pii.op10,
 }
 ORACLES = {
     "op1_decontamination": decontam.OP1_SQL,
