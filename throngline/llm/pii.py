@@ -195,7 +195,8 @@ def find(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, out:
     more = " ".join(f"when {i} then '{k}'" for i, k in enumerate(GENERATORS))
     d = d.withColumn("_spans", F.expr(f"concat(_base, transform(_more, x -> named_struct('rank', {len(PATTERNS)} + x.gen, 's', x.s, 'e', x.e, 'kind', case x.gen {more} end)))"))
     d = d.withColumn("_out", F.struct(F.col("_base").alias("base"), F.array_sort("_spans").alias("spans")))
-    return d.select(*[F.col(f"`_in_{c}`").alias(c) for c in docs.columns if c != out], F.col("_out").alias(out))
+    # a generator of one row each: later expressions on the result aren't merged with the search, which would repeat it
+    return d.select(*[F.col(f"`_in_{c}`").alias(c) for c in docs.columns if c != out], F.explode(F.array("_out")).alias(out))
 
 
 def redact(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

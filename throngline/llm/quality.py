@@ -103,7 +103,8 @@ def judge(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str =
     ratios = weights(own, trusted.select(F.col(doc_id).alias(f"_in_{doc_id}")), f"_in_{text}", f"_in_{doc_id}")
     d = base(scored(own, ratios, f"_in_{text}"), f"_in_{text}")
     d = d.withColumn("_out", F.struct("base.*", "llr", (~F.col("base.base_failed") & (F.col("llr") >= threshold)).alias("kept")))
-    return d.select(*[F.col(f"`_in_{c}`").alias(c) for c in docs.columns if c != out], F.col("_out").alias(out))
+    # a generator of one row each: a later filter on the result isn't moved below it, which would compute all figures twice
+    return d.select(*[F.col(f"`_in_{c}`").alias(c) for c in docs.columns if c != out], F.explode(F.array("_out")).alias(out))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
