@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, neardup, pieces, pii, quality, toxicity
+from . import decontam, html, langid, licenses, neardup, passages, pieces, pii, quality, toxicity
 
 QUERIES = {
     "op1_decontamination": decontam.op1,
     "op2_sentencepiece": pieces.op2,
     "op3_quality_rules": quality.op3,
     "op4_language_id": langid.op4,
+    "op5_html_extraction": html.op5,
+    "op6_repeated_passages": passages.op6,
+    "op7_license_scan": licenses.op7,
     "op8_toxicity": toxicity.op8,
     "op9_near_duplicates": neardup.op9,
     "op10_personal_data": pii.op10,
