@@ -5,7 +5,7 @@ A document's set is its distinct 5-word shingles (lower-cased A-Z, words between
 sketching fills BINS coordinates: in round i < BINS every shingle falls into a hashed bin with the value
 (i, hash), in round BINS + j every shingle falls into bin j; the smallest value of a bin counts, and the rounds
 stop once all bins are full (the last BINS rounds make sure of that). Documents that agree on one of BANDS bands
-are candidates, which at a similarity of 0.85 misses a pair with probability (1 - 0.85**4)**32 < 1e-10; a link
+are candidates, which at a similarity of 0.85 misses a pair with probability (1 - 0.85**5)**25 < 1e-6; a link
 needs 100 * intersection >= 85 * union on the full sets.
 
 Equal sets become one class first, named by its smallest doc_id, so a group of copies costs one row. Inside a
@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .text import chunks, settled, space_words, table, utf8
 
-SHINGLE, BINS, BANDS = 5, 128, 32
+SHINGLE, BINS, BANDS = 5, 125, 25
 PERCENT = 85
-ROUNDS = 6
+ROUNDS = 10
 #: Left-over comparisons, as a multiple of the number of bucket entries, that are done at once.
-LEFT_OVER = 4
+LEFT_OVER = 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -64,7 +64,7 @@ def sketch(items: np.ndarray) -> np.ndarray:
         count = min(BINS - done, 16, max(1, 1200 // n))  # further rounds change no full bin: values carry their round
         rounds = np.arange(done, done + count, dtype=np.uint64)[:, None]
         h = _mixed(items[None, :] * _B + (rounds + np.uint64(1)) * _A)
-        np.minimum.at(best, (h & np.uint64(BINS - 1)).astype(np.int64).ravel(), (rounds << np.uint64(56) | h >> np.uint64(8)).ravel())
+        np.minimum.at(best, (h % np.uint64(BINS)).astype(np.int64).ravel(), (rounds << np.uint64(56) | h >> np.uint64(8)).ravel())
         done += count
     for j in np.flatnonzero(best == _FULL).tolist():
         h = _mixed(items * _B + np.uint64((BINS + j + 1) * int(_A) % 2**64))
