@@ -159,7 +159,19 @@ def train(rows: list[list[tuple[bytes, int]]], grades: list[int]) -> Scale:
     return Scale({words[i]: v for i, v in zip(left.tolist(), w.tolist(), strict=True)}, t.tolist(), best_cut(p, y > 0))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, grade: str, text: str, doc_id: str, sample_rows: int) -> list[tuple[int, int, list[tuple[bytes, int]]]]:
+class Words:
+    """Distinct words and their counts, as pairs; two plain lists take a quarter of a list of pairs."""
+
+    __slots__ = ("words", "counts")
+
+    def __init__(self, words: list[bytes], counts: list[int]):
+        self.words, self.counts = words, counts
+
+    def __iter__(self):
+        return zip(self.words, self.counts, strict=True)
+
+
+def sampled(docs: DataFrame, labels: DataFrame, grade: str, text: str, doc_id: str, sample_rows: int) -> list[tuple[int, int, Words]]:
     """(grade, number of words, distinct words and their counts) of at most `sample_rows` graded rows, near copies once.
 
     Rows are taken for near copies if their three rare words (in at most a twentieth of the rows) of the smallest hashes
@@ -179,8 +191,12 @@ def sampled(docs: DataFrame, labels: DataFrame, grade: str, text: str, doc_id: s
         return pa.array(out, pa.struct([("n", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32()))]))
 
     found = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(few), "_id").select("_id", "_grade", split("_text").alias("s")).where("s.n > 0")
-    got = sorted(found.select("_id", "_grade", "s.n", "s.words", "s.counts").collect(), key=lambda r: (r["_id"], r["_grade"], r["n"]))
-    rows = [(r["_grade"], r["n"], [(bytes(w), c) for w, c in zip(r["words"], r["counts"], strict=True)]) for r in got]
+    got = found.select("_id", "_grade", "s.n", "s.words", "s.counts").toArrow()
+    shared: dict[bytes, bytes] = {}  # one object a word, however many rows hold it
+    rows = []
+    for i, g, n, words, counts in zip(*(got.column(k) for k in range(5)), strict=True):
+        rows.append((i.as_py(), g.as_py(), n.as_py(), Words([shared.setdefault(w, w) for w in words.as_py()], counts.as_py())))
+    rows = [r[1:] for r in sorted(rows, key=lambda r: r[:3])]
     often = Counter(w for *_, words in rows for w, _ in words)
     once: dict = {}
     for i, (_, _, words) in enumerate(rows):
@@ -189,7 +205,7 @@ def sampled(docs: DataFrame, labels: DataFrame, grade: str, text: str, doc_id: s
     return [rows[i] for i in sorted(once.values())]
 
 
-def graded(rows: list[tuple[int, int, list[tuple[bytes, int]]]], found: Stems) -> list[int]:
+def graded(rows: list[tuple[int, int, Words]], found: Stems) -> list[int]:
     """Grades 0..3 of rows labelled 0 or 1."""
     held, rest = Counter(), Counter()
     for label, _, words in rows:
