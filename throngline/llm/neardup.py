@@ -133,8 +133,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are linked. Texts travel only for documents of a pair."""
-    left, right = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+    """The pairs (a, b) whose texts are linked.
+
+    Pairs and their documents are tables of known size, so that Spark sends a small set of documents to the texts
+    (up to spark.sql.autoBroadcastJoinThreshold) and shuffles the texts of these only; a larger set is joined by a shuffle.
+    """
+    pairs = settled(pairs)
+    few = texts.join(settled(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
+    left, right = (few.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
     return pairs.join(right, "b").join(left, "a").where(linked("text_a", "text_b")).select("a", "b")
 
 
