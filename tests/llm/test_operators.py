@@ -135,6 +135,36 @@ def test_fuzzy_passage(spark):
     assert [(r["doc_id"], r["other_id"]) for r in got] == [(2, 1)] and got[0]["n_match"] >= 70
 
 
+def linked(spark, rows):
+    got = passages.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return {(r["doc_id"], r["other_id"]): r for r in got}
+
+
+def test_passage_windows_connected(spark, texts):
+    """All holders of a 50-word window are connected by rows that cover it; later documents too whose seeds stand in earlier ones."""
+    w = [f"w{i}" for i in range(60)]
+    own = lambda n: [f"d{n}x{i}" for i in range(30)]
+    rows = [(900_000 + n, " ".join(own(n) + w[n * 12 : n * 12 + 16])) for n in range(5)] + [(900_010, " ".join(own(10) + w + own(11))), (900_011, " ".join(own(12) + w + own(13)))]
+    assert (900_011, 900_010) in linked(spark, rows)
+    docs = texts | dict(rows)
+    found = passages.find(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    holders, cover = defaultdict(set), defaultdict(set)
+    for i, t in docs.items():
+        words = alnum_words((t or "").encode())
+        for j in range(len(words) - 49):
+            holders[tuple(words[j : j + 50])].add(i)
+    for r in found:
+        words = alnum_words(docs[r["doc_id"]].encode())
+        for j in range(r["start"], r["end"] - 49):
+            cover[tuple(words[j : j + 50])].add((r["doc_id"], r["other_id"]))
+    for window, ids in holders.items():
+        reached, size = {min(ids)}, 0
+        while len(reached) > size:
+            size = len(reached)
+            reached |= {i for pair in cover[window] if reached & set(pair) for i in pair}
+        assert ids <= reached
+
+
 def test_chain_prefers_order():
     assert [sorted(c) for c in passages.chain([0, 10, 20, 30], [0, 10, 900, 30])] == [[0, 1, 3]]
 
