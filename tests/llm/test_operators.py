@@ -1,6 +1,7 @@
 """The ten operators and the pipeline: SQL on the small tables, brute force, round trips, held-out accuracy, odd inputs."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -165,6 +166,21 @@ def test_passage_windows_connected(spark, texts):
         assert ids <= reached
 
 
+def test_short_fuzzy_passages(spark):
+    """Passages of 50 and 60 words with 10 to 20 % of the words changed, against a comparison word by word."""
+    rng, rows, want = random.Random(5), [], set()
+    for n in range(120):
+        size, share = (50, 60)[n % 2], (0.1, 0.14, 0.18)[n % 3]
+        base = [f"p{n}w{i}" for i in range(size)]
+        gone = set(rng.sample(range(1, size - 1), round(share * size)))
+        changed = [f"q{n}w{i}" if i in gone else v for i, v in enumerate(base)]
+        rows += [(2 * n, " ".join([f"a{n}x{i}" for i in range(30)] + base)), (2 * n + 1, " ".join(changed + [f"b{n}x{i}" for i in range(30)]))]
+        if sum(x == y for x, y in zip(base, changed)) >= 0.8 * size:
+            want.add((2 * n + 1, 2 * n))
+    got = set(linked(spark, rows))
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_chain_prefers_order():
     assert [sorted(c) for c in passages.chain([0, 10, 20, 30], [0, 10, 900, 30])] == [[0, 1, 3]]
 
