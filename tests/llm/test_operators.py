@@ -181,6 +181,15 @@ def test_short_fuzzy_passages(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_periodic_passage(spark):
+    own = lambda n: " ".join(f"d{n}x{i}" for i in range(30))
+    rows = [(1, f"{own(1)} {'la ' * 86} {own(2)}"), (2, f"{own(3)} {'la ' * 90} {own(4)}"), (3, f"{own(5)} {'go on ' * 40} {own(6)} {'go on ' * 9}"), (4, f"{own(7)} {'go on ' * 40}")]
+    cover = defaultdict(set)
+    for r in passages.find(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        cover[r["doc_id"], r["other_id"]] |= set(range(r["start"], r["end"] - 49))
+    assert set(cover) == {(2, 1), (4, 3)} and cover[2, 1] >= set(range(30, 71)) and cover[4, 3] >= set(range(30, 61))
+
+
 def test_chain_prefers_order():
     assert [sorted(c) for c in passages.chain([0, 10, 20, 30], [0, 10, 900, 30])] == [[0, 1, 3]]
 
