@@ -59,7 +59,7 @@ def splat(boxes: DataFrame, width: int, height: int) -> DataFrame:
     return b.groupBy("frame", "x", "y").agg(F.sum(weight(F.col("x"), F.col("ix")) * weight(F.col("y"), F.col("iy")) / (F.col("sx") * F.col("sy"))).alias("mass"))
 
 
-def blobs(cells: DataFrame, cell_pixels: float = 78.0, rounds: int = 64) -> DataFrame:
+def blobs(cells: DataFrame, cell_pixels: float = 78.0) -> DataFrame:
     """8-connected components of the occupied cells (frame, cx, cy, pixels) of every frame, by spreading the smallest label.
 
     Every round is a nine-cell explode, a keyed minimum and a join with it; it ends when no label changes. Each component
@@ -68,7 +68,7 @@ def blobs(cells: DataFrame, cell_pixels: float = 78.0, rounds: int = 64) -> Data
     label = F.col("cx") * 1_000_000 + F.col("cy")
     d = cells.select("frame", "cx", "cy", "pixels", label.alias("label"))
     around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    for _ in range(rounds):
+    while True:
         sent = d.select("frame", "cx", "cy", "label", around.alias("ox")).withColumn("oy", around).select("frame", (F.col("cx") + F.col("ox")).alias("cx"), (F.col("cy") + F.col("oy")).alias("cy"), "label")
         least = sent.groupBy("frame", "cx", "cy").agg(F.min("label").alias("low"))
         new = d.join(least, ["frame", "cx", "cy"]).withColumn("moved", F.col("low") < F.col("label")).select("frame", "cx", "cy", "pixels", "moved", F.col("low").alias("label"))
