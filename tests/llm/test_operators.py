@@ -233,6 +233,38 @@ def test_sketch_and_classes(spark):
     assert (neardup.sketch(neardup.shingles(b"only one")) != neardup._FULL).all()
 
 
+def brute_components(texts):
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in texts.items() if (w := space_words(t.encode()))}
+    least = {i: i for i in texts}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    moved = True
+    while moved:
+        moved = False
+        for a, b in links:
+            m = min(least[a], least[b])
+            moved |= (least[a], least[b]) != (m, m)
+            least[a] = least[b] = m
+    return least
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_large_groups(spark, monkeypatch, block):
+    """Groups of near copies around the threshold, dealt over many blocks, against all pairs."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "TILE", (3, 5))
+    rng, texts = random.Random(block), {}
+    for g in range(6):
+        base = [f"g{g}w{rng.randrange(200)}" for _ in range(120)]
+        for k in range(60 if g else 160):
+            copy = list(base)
+            for i in rng.sample(range(120), rng.choice((1, 2, 3, 4, 5))):
+                copy[i] = f"x{rng.randrange(3)}"
+            texts[(k * 7919 + g * 104729) % 100_003] = " ".join(copy)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.classify(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    want = brute_components(texts)
+    assert len(set(want.values())) > 8 and got == want
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")

@@ -5,13 +5,20 @@ A document's set is its distinct 5-word shingles (lower-cased A-Z, words between
 sketching fills BINS coordinates: in round i < BINS every shingle falls into a hashed bin with the value
 (i, hash), in round BINS + j every shingle falls into bin j; the smallest value of a bin counts, and the rounds
 stop once all bins are full (the last BINS rounds make sure of that). Documents that agree on one of BANDS bands
-are candidates, which at a similarity of 0.85 misses a pair with probability (1 - 0.85**5)**25 < 1e-6; a link
-needs 100 * intersection >= 85 * union on the full sets.
+meet in a bucket, which at a similarity of 0.85 misses a pair with probability (1 - 0.85**5)**25 < 1e-6. Pairs of a
+bucket whose sketches agree on fewer than AGREE coordinates (another 1e-6 at 0.85) are no candidates. A link needs
+100 * intersection >= 85 * union on the full sets.
 
-Equal sets become one class first, named by its smallest doc_id, so a group of copies costs one row. Inside a
-band's bucket no pair list is made: each round one pivot meets the members of other components and then leaves
-the bucket; buckets that have become one component are dropped, and what is left in the end (members outside
-the largest component of their bucket) is compared in full, so that no link between components is lost.
+Equal sets become one class first, named by its smallest doc_id, so a group of copies costs one row. A bucket is
+dealt into blocks of about BLOCK members, its first member standing in each. No pair list of a group is made:
+
+1. in its block, a document is compared in full with the most similar candidate before it and after it only,
+   which nearly always joins a group of near copies at once;
+2. where a bucket still holds several components, the candidates between documents outside its largest component and
+   all others are compared in full, laid out in tiles of documents (TILE), each tile's texts being sent to one task once.
+
+So no link between components is lost. Figures of step 2 are the product of a group's stragglers and those members
+only whose sketches agree with them.
 
 Defined cases: a null or wordless text has an empty set, is linked with nothing and is kept; repeated rows with
 the same text fall in one class; rows that repeat a doc_id with another text are classed by their own text; a
@@ -20,18 +27,21 @@ null doc_id is never a class's name unless all ids of the class are null.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .text import chunks, settled, space_words, table, utf8
+from .text import Tables, chunks, space_words, table, utf8
 
 SHINGLE, BINS, BANDS = 5, 125, 25
 PERCENT = 85
-ROUNDS = 10
-#: Left-over comparisons, as a multiple of the number of bucket entries, that are done at once.
-LEFT_OVER = 1
+#: Coordinates of BINS (by 4 bits each) that a candidate's sketch shares at least, 4.75 standard deviations below the mean at 0.85.
+AGREE = 88
+#: Members of a block; documents along both sides of a tile.
+BLOCK, TILE = 512, (64, 128)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -72,27 +82,161 @@ def sketch(items: np.ndarray) -> np.ndarray:
     return best
 
 
-def bands(items: np.ndarray) -> np.ndarray:
-    s = sketch(items).reshape(BANDS, BINS // BANDS)
+def bands(coordinates: np.ndarray) -> np.ndarray:
+    s = coordinates.reshape(BANDS, BINS // BANDS)
     h = np.arange(1, BANDS + 1, dtype=np.uint64) * _B
     for j in range(s.shape[1]):
         h = _mixed((h ^ s[:, j]) * _A)
     return h.view(np.int64)
 
 
-_SKETCH = pa.struct([("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+def nibbles(coordinates: np.ndarray) -> bytes:
+    """The low four bits of every coordinate, two a byte."""
+    low = np.append(coordinates & np.uint64(15), np.zeros(len(coordinates) % 2, dtype=np.uint64)).astype(np.uint8)
+    return (low[0::2] | low[1::2] << 4).tobytes()
 
 
-@F.arrow_udf(T.StructType().add("n", T.LongType()).add("key", T.BinaryType()).add("bands", T.ArrayType(T.LongType())))
+_SKETCH = pa.struct([("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("mini", pa.binary())])
+
+
+@F.arrow_udf(T.StructType().add("n", T.LongType()).add("key", T.BinaryType()).add("bands", T.ArrayType(T.LongType())).add("mini", T.BinaryType()))
 def sketched(column: pa.Array) -> pa.Array:
-    texts, n, key, found = utf8(column), [], [], []
+    """Set size, hash of the set, bands and nibbles; the last three null for an empty set."""
+    texts, n, key, found, mini = utf8(column), [], [], [], []
     for a, b in chunks(texts):
         for t in texts[a:b]:
             items = shingles(t)
+            s = sketch(items) if len(items) else None
             n.append(len(items))
-            key.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
-            found.append(bands(items) if len(items) else None)
-    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(found, pa.list_(pa.int64()))], fields=list(_SKETCH))
+            key.append(None if s is None else xxhash.xxh3_128_digest(items.tobytes()))
+            found.append(None if s is None else bands(s))
+            mini.append(None if s is None else nibbles(s))
+    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(mini, pa.binary())], fields=list(_SKETCH))
+
+
+def agreement(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches (a row per document, a byte per coordinate) and set sizes of a batch."""
+    packed = np.frombuffer(b"".join(batch["mini"].to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+    return np.stack([packed & 15, packed >> 4], axis=2).reshape(batch.num_rows, -1)[:, :BINS], batch["n"].to_numpy()
+
+
+def candidate(one: np.ndarray, many: np.ndarray, n: int | np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Shared coordinates where sizes and sketches allow a link, else -1."""
+    same = (many == one).sum(axis=-1, dtype=np.int16)
+    return np.where((same >= AGREE) & (100 * np.minimum(n, sizes) >= PERCENT * np.maximum(n, sizes)), same, -1)
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole blocks from batches sorted by (bucket, block); only the last block read is held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, block = batch["bucket"].to_numpy(), batch["block"].to_numpy()
+        cut = int(np.flatnonzero((bucket != bucket[-1]) | (block != block[-1]))[-1]) + 1 if (bucket[0], block[0]) != (bucket[-1], block[-1]) else 0
+        if cut or (held and (held[-1]["bucket"][0].as_py(), held[-1]["block"][0].as_py()) != (bucket[-1], block[-1])):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of each member with its most similar candidate before it and after it in its block; ties go to the nearer id."""
+    for whole in blocks(batches):
+        marks, sizes = agreement(whole)
+        bucket, block = whole["bucket"].to_numpy(), whole["block"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])])
+        counts = np.diff(np.r_[starts, len(bucket)])
+        group = np.repeat(np.arange(len(starts)), counts)
+        rows = np.arange(len(bucket))
+        before, after = np.full((2, len(bucket)), -1), np.full((2, len(bucket)), -1)  # score, place
+
+        def met(i: np.ndarray, j: np.ndarray, score: np.ndarray) -> None:
+            better = score > before[0, j]
+            before[:, j[better]] = score[better], i[better]
+            better = score > after[0, i]
+            after[:, i[better]] = score[better], j[better]
+
+        small = counts <= 8
+        for d in range(1, 8):  # many small blocks at once
+            i = rows[:-d][(group[:-d] == group[d:]) & small[group[:-d]]]
+            if len(i):
+                met(i, i + d, candidate(marks[i], marks[i + d], sizes[i], sizes[i + d]))
+        for s, c in zip(starts[~small].tolist(), counts[~small].tolist(), strict=True):
+            for j in range(s + 1, s + c):
+                i = rows[s:j][::-1]
+                score = candidate(marks[j], marks[i], sizes[j], sizes[i])
+                best = int(np.argmax(score))
+                if score[best] > before[0, j]:
+                    before[:, j] = score[best], i[best]
+                better = score > after[0, i]
+                after[0, i[better]], after[1, i[better]] = score[better], j
+        a, b = np.r_[before[1][before[1] >= 0], rows[after[1] >= 0]], np.r_[rows[before[1] >= 0], after[1][after[1] >= 0]]
+        node = whole["node"].combine_chunks()
+        yield pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b))], names=["a", "b"])
+
+
+def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(main, a, b) of stragglers a and candidates b of another component. Batches are sorted by (bucket, block, role): a block's members are held, its stragglers stream by."""
+    at = members = None
+    for batch in batches:
+        bucket, block, role = (batch[c].to_numpy() for c in ("bucket", "block", "role"))
+        starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])]).tolist() if batch.num_rows else []
+        a, b, main = [], [], []
+        for s, e in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            if at != (bucket[s], block[s]):
+                at, members = (bucket[s], block[s]), None
+            split = s + int(np.searchsorted(role[s:e], 1))
+            if split > s:
+                more = pa.Table.from_batches([batch.slice(s, split - s)])
+                members = more if members is None else pa.concat_tables([members, more])
+            if split == e or members is None:
+                continue
+            marks, sizes = agreement(members)
+            own = batch.slice(split, e - split)
+            own_marks, own_sizes = agreement(own)
+            names, comps = members["node"].to_pylist(), members["comp"].to_pylist()
+            for k, (node, comp, m) in enumerate(zip(own["node"].to_pylist(), own["comp"].to_pylist(), own["main"].to_pylist(), strict=True)):
+                for j in np.flatnonzero(candidate(own_marks[k], marks, int(own_sizes[k]), sizes) >= 0).tolist():
+                    if comps[j] != comp and (comps[j] == m or node < names[j]):
+                        a.append(node)
+                        b.append(names[j])
+                        main.append(m)
+        kind = batch.schema.field("node").type
+        yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v in (main, a, b)], names=["main", "a", "b"])
+
+
+def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links (a, b) of tiles. Batches are sorted by (main, ta, tb, side): the sets of side 0 are held, side 1 streams by."""
+    at, held = None, None
+    for batch in batches:
+        a, b = [], []
+        for text, main, ta, tb, side, node in zip(utf8(batch["text"]), *(batch[c].to_pylist() for c in ("main", "ta", "tb", "side", "node")), strict=True):
+            if at != (main, ta, tb):
+                at, names, sets, held = (main, ta, tb), [], [], None
+            if side == 0:
+                names.append(node)
+                sets.append(shingles(text))
+                continue
+            if not sets:
+                continue
+            if held is None:
+                sizes = np.array([len(x) for x in sets])
+                items = np.concatenate(sets)
+                order = np.argsort(items, kind="stable")
+                held = items[order], np.repeat(np.arange(len(sets)), sizes)[order]
+            own = shingles(text)
+            low, high = np.searchsorted(held[0], own), np.searchsorted(held[0], own, side="right")
+            runs = high - low
+            both = np.bincount(held[1][np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs - low, runs)], minlength=len(sets))
+            for k in np.flatnonzero(100 * both >= PERCENT * (sizes + len(own) - both)).tolist():
+                if names[k] != node:
+                    a.append(names[k])
+                    b.append(node)
+        kind = batch.schema.field("node").type
+        yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
 
 
 @F.arrow_udf(T.BooleanType())
@@ -108,76 +252,101 @@ def linked(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: Tables, name: str) -> DataFrame:
     """(node, comp): the smallest node reachable over links (a, b), for every node that has a link.
 
     Alternating large-star and small-star steps; each is a keyed minimum (combined before its shuffle) and a
     join with it. The loop ends once a step changes nothing.
     """
-    edges = settled(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct())
+    edges = tables.keep(f"{name}0", links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct())
     size = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    was = size(edges)
+    was, turn = size(edges), 0
     while was[0]:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select("v", F.col("m").alias("u"))
-        edges = large.where("u < v").distinct()
-        least = edges.groupBy("v").agg(F.min("u").alias("m"))
-        small = edges.join(least, "v").select(F.greatest("u", "m").alias("v"), F.col("m").alias("u"))
-        edges = settled(small.unionByName(least.select("v", F.col("m").alias("u"))).where("u < v").distinct())
+        large = both.where("v > u").join(least, "u").select("v", F.col("m").alias("u")).where("u < v")
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(least, "v").select(F.greatest("u", "m").alias("v"), F.col("m").alias("u"))
+        edges = tables.keep(f"{name}{turn + 1}", small.unionByName(least.select("v", F.col("m").alias("u"))).where("u < v").distinct())
         now = size(edges)
+        tables.drop(f"{name}{turn}")
+        turn += 1
         if now == was:
             break
         was = now
-    return edges.groupBy("v").agg(F.min("u").alias("comp")).select(F.col("v").alias("node"), "comp").unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("comp")).distinct())
+    both = edges.groupBy("v").agg(F.min("u").alias("comp")).select(F.col("v").alias("node"), "comp").unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("comp")).distinct())
+    both = tables.keep(name, both)
+    tables.drop(f"{name}{turn}")
+    return both
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are linked.
+def _texts(nodes: DataFrame, texts: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """The texts of the nodes. The nodes are a table of known size: Spark sends a small one to the texts (up to spark.sql.autoBroadcastJoinThreshold), a larger one is joined by a shuffle."""
+    return texts.join(tables.keep(name, nodes.distinct()), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
-    Pairs and their documents are tables of known size, so that Spark sends a small set of documents to the texts
-    (up to spark.sql.autoBroadcastJoinThreshold) and shuffles the texts of these only; a larger set is joined by a shuffle.
-    """
-    pairs = settled(pairs)
-    few = texts.join(settled(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
+
+def _verified(pairs: DataFrame, texts: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """The pairs (a, b) whose texts are linked."""
+    few = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts, tables, f"{name}_nodes")
     left, right = (few.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    return pairs.join(right, "b").join(left, "a").where(linked("text_a", "text_b")).select("a", "b")
+    return tables.keep(name, pairs.join(right, "b").join(left, "a").where(linked("text_a", "text_b")).select("a", "b"))
+
+
+def _crossed(pairs: DataFrame, texts: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """The links among the pairs (main, a, b), compared in tiles: each text goes to the tiles it has a pair in, not to every pair."""
+    spread = pairs.groupBy("main").agg(*(F.ceil(F.approx_count_distinct(c) / n).cast("int").alias(f"n{c}") for c, n in zip("ab", TILE, strict=True)))
+    dealt = pairs.join(spread, "main").select("main", "a", "b", *(F.pmod(F.hash(c), F.greatest(F.col(f"n{c}"), F.lit(1))).alias(f"t{c}") for c in "ab"))
+    ends = dealt.select("main", "ta", "tb", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("a").alias("node")), F.struct(F.lit(0).alias("side"), F.col("b").alias("node")))).alias("e")).select("main", "ta", "tb", "e.*").distinct()
+    laid = tables.keep(f"{name}_tiles", ends)
+    rows = laid.join(_texts(laid.select("node"), texts, tables, f"{name}_nodes"), "node").repartition("main", "ta", "tb").sortWithinPartitions("main", "ta", "tb", "side")
+    kind = pairs.schema["a"].dataType
+    return tables.keep(name, rows.mapInArrow(tiles, T.StructType().add("a", kind).add("b", kind)))
 
 
 def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of `docs`: doc_id, n_shingles, component_id, kept."""
+    tables = Tables(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = settled(own.select("doc_id", sketched("text").alias("s")).select("doc_id", "s.*"))
-    classes = rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"))
-    heads = rows.join(classes.withColumnRenamed("node", "doc_id"), ["key", "doc_id"]).groupBy("key", F.col("doc_id").alias("node"), "n").agg(F.first("bands").alias("bands"))
-    spread = heads.select(F.explode("bands").alias("bucket"), "node", "n")
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    entries = settled(spread.join(shared, "bucket"))
-    texts = own.withColumnRenamed("doc_id", "node")
-    links = comps = None
-    for turn in range(ROUNDS + 1):
-        state = entries.withColumn("comp", F.col("node")) if comps is None else entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        pivots = state.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("rank"), "node", "comp", "n")).alias("p")).where("lo < hi")
-        mixed = settled(state.join(pivots.select("bucket", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pcomp"), F.col("p.n").alias("pn")), "bucket"))
-        tally = mixed.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("most"))
-        work, there = tally.agg(F.coalesce(F.sum(F.expr("(size - most.c) * size")), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
-        if not there:
-            break
-        last = turn and (work <= LEFT_OVER * there or turn == ROUNDS)
-        if last:
-            few = mixed.join(tally.select("bucket", F.col("most.comp").alias("main")), "bucket").where("comp <> main").select("bucket", F.col("node").alias("pivot"), F.col("comp").alias("pcomp"), F.col("n").alias("pn"))
-            met = mixed.drop("pivot", "pcomp", "pn").join(few, "bucket")
-        else:
-            met = mixed
-        pairs = met.where(f"comp <> pcomp and 100 * least(n, pn) >= {PERCENT} * greatest(n, pn)").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        fresh = _verified(pairs, texts)
-        links = settled(fresh if links is None else links.unionByName(fresh))
-        comps = settled(components(links))
-        if last:
-            break
-        entries = mixed.where("node <> pivot").select("bucket", "node", "n")
-    named = classes if comps is None else classes.join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("node"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(named.withColumnRenamed("node", "comp"), "key", "left")
+    rows = tables.keep("rows", own.select("doc_id", sketched("text").alias("s")).select("doc_id", "s.*"))
+    named = rows.where("key is not null and doc_id is not null")
+    heads = tables.keep("heads", named.groupBy("key").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n", "bands", "mini"))))
+    kind = rows.schema["doc_id"].dataType
+    pair = T.StructType().add("a", kind).add("b", kind)
+    # buckets of two members or more, and the block of each member; the first member of a bucket stands in all its blocks
+    spread = heads.select(F.explode("bands").alias("bucket"), "node")
+    held = spread.groupBy("bucket").agg(F.count("*").alias("c"), F.min("node").alias("first")).where("c > 1").select("bucket", "first", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
+    place = lambda node: F.pmod(F.hash("bucket", node), F.col("parts"))
+    entries = tables.keep("entries", spread.join(held, "bucket").select("bucket", "node", "parts", place("node").alias("block"), "first"))
+    firsts = entries.where("parts > 1 and node = first").select("bucket", "node", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"), "block").where("other <> block").select("bucket", "node", F.col("other").alias("block"))
+    marks = heads.select("node", "n", "mini")
+    wide = entries.select("bucket", "node", "block").unionByName(firsts).join(marks, "node").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "node")
+    pairs = tables.keep("pairs", wide.mapInArrow(nearest, pair).distinct())
+    texts = own.where("doc_id is not null").withColumnRenamed("doc_id", "node")
+    links = _verified(pairs, texts, tables, "links")
+    comps = components(links, tables, "comps")
+    # what is left: stragglers of buckets with several components
+    near = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(entries.where("parts > 1").select("node")).distinct()
+    live = entries.drop("first").join(marks.join(near, "node", "left_semi").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "node")
+    live = tables.keep("live", live)
+    tally = live.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("most"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("most.comp").alias("main"))
+    live = live.join(tally, "bucket")
+    both = live.withColumn("role", F.lit(0)).unionByName(live.where("comp <> main").withColumn("block", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("role", F.lit(1)))
+    both = both.select("bucket", "block", "role", "node", "n", "mini", "comp", "main").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "role")
+    left = both.mapInArrow(crossing, T.StructType().add("main", kind).add("a", kind).add("b", kind)).distinct()
+    tried = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    left = tables.keep("left", left.join(tried, ["a", "b"], "left_anti"))
+    if not left.isEmpty():
+        more = _crossed(left, texts, tables, "more")
+        ends = (comps.select(F.col("node").alias(k), F.col("comp").alias(f"comp_{k}")) for k in "ab")
+        for k, end in zip("ab", ends, strict=True):
+            more = more.join(end, k, "left").withColumn(k, F.coalesce(f"comp_{k}", k)).drop(f"comp_{k}")
+        roots = components(more, tables, "roots").select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+        # a root's component may be a single document without a link of step 1
+        single = roots.join(comps.select("comp").distinct(), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("root").alias("comp"))
+        comps = comps.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")).unionByName(single)
+    classes = tables.keep("classes", heads.join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("comp")))
+    tables.drop("heads", "entries", "pairs", "links_nodes", "links", "comps", "live", "left", "more_tiles", "more_nodes", "more", "roots")
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(classes, "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

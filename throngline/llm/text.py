@@ -58,18 +58,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept as a table in the cluster's checkpoint folder: later steps reread it, lost executors or not.
-
-    The folder is spark.checkpoint.dir of the session; where that is unset (tests), a temporary one. A table is
-    columnar and compressed, a few times smaller than checkpoint(). The tables go when the session's JVM ends.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset, a temporary one on a local master, an error elsewhere."""
     sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = sc._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+class Tables:
+    """Steps of one operator call that are computed once and kept as Parquet below the shared folder.
+
+    Later steps reread them, lost executors or not. `drop` deletes those that no later step reads; the others go when
+    the session's JVM ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        place = self._path(self.folder)
+        self._files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._files.deleteOnExit(place)
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._files.delete(self._path(f"{self.folder}/{name}"), True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df` computed once and kept as a table of its own until the session's JVM ends."""
+    return Tables(df.sparkSession).keep("table", df)
