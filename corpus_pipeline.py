@@ -5,20 +5,18 @@ benchmark decontamination (contaminated documents go), redaction of personal dat
 with it), SentencePiece encoding (the last stage returns token ids, and whether decoding gives the text back).
 
 Every stage works on all rows that the stage before it kept. `run` writes each stage's rows as Parquet below
-spark.checkpoint.dir (a temporary folder where that is unset) and reads them again, so that no stage computes
+spark.checkpoint.dir (a temporary folder on a local master where that is unset) and reads them again, so that no stage computes
 another one anew and a lost executor costs no more than a reread.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from throngline.llm import decontam, neardup, pieces, pii, quality
-from throngline.llm.text import table
+from throngline.llm.text import shared_folder, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+    folder = shared_folder(spark)
     folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
