@@ -310,7 +310,7 @@ def brute_components(texts):
 def test_large_groups(spark, monkeypatch, block):
     """Groups of near copies around the threshold, dealt over many blocks, against all pairs."""
     monkeypatch.setattr(neardup, "BLOCK", block)
-    monkeypatch.setattr(neardup, "TILE", (3, 5))
+    monkeypatch.setattr(neardup, "TILE", (8, 6))
     rng, texts = random.Random(block), {}
     for g in range(6):
         base = [f"g{g}w{rng.randrange(200)}" for _ in range(120)]

@@ -14,11 +14,11 @@ dealt into blocks of about BLOCK members, its first member standing in each. No
 
 1. in its block, a document is compared in full with the most similar candidate before it and after it only,
    which nearly always joins a group of near copies at once;
-2. where a bucket still holds several components, the candidates between documents outside its largest component and
-   all others are compared in full, laid out in tiles of documents (TILE), each tile's texts being sent to one task once.
+2. where a bucket still holds several components, a document outside its largest component (a straggler) with a
+   candidate of another component in it is compared in full with all of the largest component and with its other
+   stragglers. These are laid out in tiles (TILE): a tile's sets are held, the stragglers stream by.
 
-So no link between components is lost. Figures of step 2 are the product of a group's stragglers and those members
-only whose sketches agree with them.
+So no link between components is lost, and rows grow with stragglers and members, not with their pairs.
 
 Defined cases: a null or wordless text has an empty set, is linked with nothing and is kept; repeated rows with
 the same text fall in one class; rows that repeat a doc_id with another text are classed by their own text; a
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -40,8 +41,8 @@ SHINGLE, BINS, BANDS = 5, 125, 25
 PERCENT = 85
 #: Coordinates of BINS (by 4 bits each) that a candidate's sketch shares at least, 4.75 standard deviations below the mean at 0.85.
 AGREE = 88
-#: Members of a block; documents along both sides of a tile.
-BLOCK, TILE = 512, (64, 128)
+#: Members of a block; members and stragglers of a tile. Buckets up to SMALL members are settled by step 1: all their candidates are compared.
+BLOCK, TILE, SMALL = 512, (128, 4096), 4
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -160,10 +161,14 @@ def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             after[:, i[better]] = score[better], j[better]
 
         small = counts <= 8
+        extra: list[tuple[np.ndarray, np.ndarray]] = []
         for d in range(1, 8):  # many small blocks at once
             i = rows[:-d][(group[:-d] == group[d:]) & small[group[:-d]]]
             if len(i):
-                met(i, i + d, candidate(marks[i], marks[i + d], sizes[i], sizes[i + d]))
+                score = candidate(marks[i], marks[i + d], sizes[i], sizes[i + d])
+                met(i, i + d, score)
+                whole_group = i[(score >= 0) & (counts[group[i]] <= SMALL)]
+                extra.append((whole_group, whole_group + d))
         for s, c in zip(starts[~small].tolist(), counts[~small].tolist(), strict=True):
             for j in range(s + 1, s + c):
                 i = rows[s:j][::-1]
@@ -173,51 +178,50 @@ def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     before[:, j] = score[best], i[best]
                 better = score > after[0, i]
                 after[0, i[better]], after[1, i[better]] = score[better], j
-        a, b = np.r_[before[1][before[1] >= 0], rows[after[1] >= 0]], np.r_[rows[before[1] >= 0], after[1][after[1] >= 0]]
+        a = np.concatenate([before[1][before[1] >= 0], rows[after[1] >= 0], *(x for x, _ in extra)])
+        b = np.concatenate([rows[before[1] >= 0], after[1][after[1] >= 0], *(x for _, x in extra)])
         node = whole["node"].combine_chunks()
         yield pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b))], names=["a", "b"])
 
 
 def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(main, a, b) of stragglers a and candidates b of another component. Batches are sorted by (bucket, block, role): a block's members are held, its stragglers stream by."""
-    at = members = None
+    """(main, node, comp) of stragglers with a candidate of another component. Batches are sorted by (bucket, block, role): a block's members are held, its stragglers stream by."""
+    at = held = None
     for batch in batches:
         bucket, block, role = (batch[c].to_numpy() for c in ("bucket", "block", "role"))
         starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])]).tolist() if batch.num_rows else []
-        a, b, main = [], [], []
+        found: list[int] = []
         for s, e in zip(starts, [*starts[1:], batch.num_rows], strict=True):
             if at != (bucket[s], block[s]):
-                at, members = (bucket[s], block[s]), None
+                at, members, held = (bucket[s], block[s]), [], None
             split = s + int(np.searchsorted(role[s:e], 1))
             if split > s:
-                more = pa.Table.from_batches([batch.slice(s, split - s)])
-                members = more if members is None else pa.concat_tables([members, more])
-            if split == e or members is None:
+                members.append(batch.slice(s, split - s))
+            if split == e or not members:
                 continue
-            marks, sizes = agreement(members)
+            if held is None:
+                table = pa.Table.from_batches(members)
+                held = *agreement(table), table["comp"]
             own = batch.slice(split, e - split)
             own_marks, own_sizes = agreement(own)
-            names, comps = members["node"].to_pylist(), members["comp"].to_pylist()
-            for k, (node, comp, m) in enumerate(zip(own["node"].to_pylist(), own["comp"].to_pylist(), own["main"].to_pylist(), strict=True)):
-                for j in np.flatnonzero(candidate(own_marks[k], marks, int(own_sizes[k]), sizes) >= 0).tolist():
-                    if comps[j] != comp and (comps[j] == m or node < names[j]):
-                        a.append(node)
-                        b.append(names[j])
-                        main.append(m)
-        kind = batch.schema.field("node").type
-        yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v in (main, a, b)], names=["main", "a", "b"])
+            for k in range(e - split):
+                near = candidate(own_marks[k], held[0], int(own_sizes[k]), held[1]) >= 0
+                if near.any() and pa.compute.any(pa.compute.not_equal(held[2].filter(pa.array(near)), own["comp"][k])).as_py():
+                    found.append(split + k)
+        yield batch.select(["main", "node", "comp"]).take(pa.array(found, pa.int64()))
 
 
 def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links (a, b) of tiles. Batches are sorted by (main, ta, tb, side): the sets of side 0 are held, side 1 streams by."""
+    """Links (a, b) of tiles, one of each straggler with each component. Batches are sorted by (main, ta, tb, side): the sets of side 0 are held, side 1 streams by."""
     at, held = None, None
     for batch in batches:
         a, b = [], []
-        for text, main, ta, tb, side, node in zip(utf8(batch["text"]), *(batch[c].to_pylist() for c in ("main", "ta", "tb", "side", "node")), strict=True):
-            if at != (main, ta, tb):
-                at, names, sets, held = (main, ta, tb), [], [], None
+        for text, *key, side, node, comp in zip(utf8(batch["text"]), *(batch[c].to_pylist() for c in ("main", "ta", "tb", "side", "node", "comp")), strict=True):
+            if at != key:
+                at, names, comps, sets, held = key, [], [], [], None
             if side == 0:
                 names.append(node)
+                comps.append(comp)
                 sets.append(shingles(text))
                 continue
             if not sets:
@@ -231,17 +235,16 @@ def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low, high = np.searchsorted(held[0], own), np.searchsorted(held[0], own, side="right")
             runs = high - low
             both = np.bincount(held[1][np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs - low, runs)], minlength=len(sets))
-            for k in np.flatnonzero(100 * both >= PERCENT * (sizes + len(own) - both)).tolist():
-                if names[k] != node:
-                    a.append(names[k])
-                    b.append(node)
+            met = {comps[k]: names[k] for k in np.flatnonzero(100 * both >= PERCENT * (sizes + len(own) - both)).tolist() if comps[k] != comp}
+            a.extend(met.values())
+            b.extend([node] * len(met))
         kind = batch.schema.field("node").type
         yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
 
 
 @F.arrow_udf(T.BooleanType())
 def linked(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Whether 100 * intersection >= 85 * union; rows come sorted by their left text, whose set is kept."""
+    """Whether 100 * intersection >= 85 * union; the set of a left text that comes again in the next row is kept."""
     out, last, own = [], None, None
     for a, b in zip(utf8(left), utf8(right), strict=True):
         if a != last:
@@ -292,14 +295,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, tables: Tables, name: str) ->
     return tables.keep(name, pairs.join(right, "b").join(left, "a").where(linked("text_a", "text_b")).select("a", "b"))
 
 
-def _crossed(pairs: DataFrame, texts: DataFrame, tables: Tables, name: str) -> DataFrame:
-    """The links among the pairs (main, a, b), compared in tiles: each text goes to the tiles it has a pair in, not to every pair."""
-    spread = pairs.groupBy("main").agg(*(F.ceil(F.approx_count_distinct(c) / n).cast("int").alias(f"n{c}") for c, n in zip("ab", TILE, strict=True)))
-    dealt = pairs.join(spread, "main").select("main", "a", "b", *(F.pmod(F.hash(c), F.greatest(F.col(f"n{c}"), F.lit(1))).alias(f"t{c}") for c in "ab"))
-    ends = dealt.select("main", "ta", "tb", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("a").alias("node")), F.struct(F.lit(0).alias("side"), F.col("b").alias("node")))).alias("e")).select("main", "ta", "tb", "e.*").distinct()
-    laid = tables.keep(f"{name}_tiles", ends)
+def _crossed(attached: DataFrame, comps: DataFrame, texts: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """Links of the stragglers (main, node, comp) with the component `main` and with each other, compared in tiles."""
+    parts = lambda n, most: F.ceil(F.col(n) / most).cast("int")
+    size = comps.groupBy(F.col("comp").alias("main")).agg(F.count("*").alias("c"))
+    families = attached.groupBy("main").agg(F.count("*").alias("k")).join(size, "main", "left").select("main", parts("k", TILE[1]).alias("na"), F.ceil((F.col("k") + F.coalesce("c", F.lit(1))) / TILE[0]).cast("int").alias("nb"))
+    families = tables.keep(f"{name}_families", families)
+    given = attached.join(families, "main")
+    inside = comps.withColumn("main", F.col("comp")).join(families, "main").select("main", "node", "comp", "na", "nb")
+    alone = families.select("main", F.col("main").alias("node"), F.col("main").alias("comp"), "na", "nb")
+    members = inside.unionByName(alone).unionByName(given.select("main", "node", "comp", "na", "nb")).distinct()
+    members = members.select("main", "node", "comp", F.lit(0).alias("side"), F.explode(F.expr("sequence(0, na - 1)")).alias("ta"), F.pmod(F.hash("node"), "nb").alias("tb"))
+    streams = given.select("main", "node", "comp", F.lit(1).alias("side"), F.pmod(F.hash("node"), "na").alias("ta"), F.explode(F.expr("sequence(0, nb - 1)")).alias("tb"))
+    laid = tables.keep(f"{name}_tiles", members.unionByName(streams))
     rows = laid.join(_texts(laid.select("node"), texts, tables, f"{name}_nodes"), "node").repartition("main", "ta", "tb").sortWithinPartitions("main", "ta", "tb", "side")
-    kind = pairs.schema["a"].dataType
+    kind = attached.schema["node"].dataType
     return tables.keep(name, rows.mapInArrow(tiles, T.StructType().add("a", kind).add("b", kind)))
 
 
@@ -314,9 +324,9 @@ def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     pair = T.StructType().add("a", kind).add("b", kind)
     # buckets of two members or more, and the block of each member; the first member of a bucket stands in all its blocks
     spread = heads.select(F.explode("bands").alias("bucket"), "node")
-    held = spread.groupBy("bucket").agg(F.count("*").alias("c"), F.min("node").alias("first")).where("c > 1").select("bucket", "first", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
+    held = spread.groupBy("bucket").agg(F.count("*").alias("c"), F.min("node").alias("first")).where("c > 1").select("bucket", "first", "c", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
     place = lambda node: F.pmod(F.hash("bucket", node), F.col("parts"))
-    entries = tables.keep("entries", spread.join(held, "bucket").select("bucket", "node", "parts", place("node").alias("block"), "first"))
+    entries = tables.keep("entries", spread.join(held, "bucket").select("bucket", "node", "c", "parts", place("node").alias("block"), "first"))
     firsts = entries.where("parts > 1 and node = first").select("bucket", "node", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"), "block").where("other <> block").select("bucket", "node", F.col("other").alias("block"))
     marks = heads.select("node", "n", "mini")
     wide = entries.select("bucket", "node", "block").unionByName(firsts).join(marks, "node").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "node")
@@ -324,19 +334,16 @@ def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     texts = own.where("doc_id is not null").withColumnRenamed("doc_id", "node")
     links = _verified(pairs, texts, tables, "links")
     comps = components(links, tables, "comps")
-    # what is left: stragglers of buckets with several components
-    near = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(entries.where("parts > 1").select("node")).distinct()
-    live = entries.drop("first").join(marks.join(near, "node", "left_semi").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "node")
-    live = tables.keep("live", live)
+    # what is left: stragglers of larger buckets with several components
+    state = marks.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    live = tables.keep("live", entries.where(F.col("c") > SMALL).select("bucket", "node", "parts", "block").join(state, "node"))
     tally = live.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("most"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("most.comp").alias("main"))
     live = live.join(tally, "bucket")
     both = live.withColumn("role", F.lit(0)).unionByName(live.where("comp <> main").withColumn("block", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("role", F.lit(1)))
     both = both.select("bucket", "block", "role", "node", "n", "mini", "comp", "main").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "role")
-    left = both.mapInArrow(crossing, T.StructType().add("main", kind).add("a", kind).add("b", kind)).distinct()
-    tried = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    left = tables.keep("left", left.join(tried, ["a", "b"], "left_anti"))
+    left = tables.keep("left", both.mapInArrow(crossing, T.StructType().add("main", kind).add("node", kind).add("comp", kind)).distinct())
     if not left.isEmpty():
-        more = _crossed(left, texts, tables, "more")
+        more = _crossed(left, comps, texts, tables, "more")
         ends = (comps.select(F.col("node").alias(k), F.col("comp").alias(f"comp_{k}")) for k in "ab")
         for k, end in zip("ab", ends, strict=True):
             more = more.join(end, k, "left").withColumn(k, F.coalesce(f"comp_{k}", k)).drop(f"comp_{k}")
@@ -345,7 +352,7 @@ def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
         single = roots.join(comps.select("comp").distinct(), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("root").alias("comp"))
         comps = comps.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")).unionByName(single)
     classes = tables.keep("classes", heads.join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("comp")))
-    tables.drop("heads", "entries", "pairs", "links_nodes", "links", "comps", "live", "left", "more_tiles", "more_nodes", "more", "roots")
+    tables.drop("heads", "entries", "pairs", "links_nodes", "links", "comps", "live", "left", "more_families", "more_tiles", "more_nodes", "more", "roots")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(classes, "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
