@@ -62,8 +62,8 @@ def test_store(spark, tmp_path):
 
 def test_stream_equals_batch(spark, tmp_path):
     th = Thresholds(dwell_s=5.0, resolve_s=4.0, reassert_gap_s=12.0)
-    rows = [(z, 1000.0 + i, "green" if (i // 7 + k) % 3 == 0 else "amber" if (i // 5) % 2 else "red", "density", 10.0) for k, z in enumerate(("z1", "z2")) for i in range(120)]
-    schema = "zone_id string, t double, risk string, headline string, ttc double"
+    rows = [(z, 1000.0 + i, "green" if (i // 7 + k) % 3 == 0 else "amber" if (i // 5) % 2 else "red", "density", 10.0, "d") for k, z in enumerate(("z1", "z2")) for i in range(120)]
+    schema = "zone_id string, t double, risk string, headline string, ttc double, detail string"
     src = f"{tmp_path}/in"
     for k in range(3):  # one file after the other
         part = [r for r in rows if 40 * k <= r[1] - 1000 < 40 * (k + 1)]

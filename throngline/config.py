@@ -94,7 +94,7 @@ def box(x0: float, y0: float, x1: float, y1: float) -> tuple[Point, ...]:
     return ((x0, y0), (x1, y0), (x1, y1), (x0, y1))
 
 
-#: A frame of 960 x 544 pixels over 30 m x 17 m of ground.
+#: A frame of 960 x 544 pixels over 30 m x 17 m of ground.
 DEFAULT_SCENE = Scene(
     "riverside",
     (960, 544),

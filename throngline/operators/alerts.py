@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import Thresholds
 
 RANK = {"green": 0, "amber": 1, "red": 2}
+# The titles of the messages.
 TITLES = {"density": "High density", "density_trend": "Density rising", "flow_breakdown": "Movement breaking down", "convergence": "Opposing flows meeting", "pressure": "Turbulent movement"}
-EVENTS = "zone_id string, t double, kind string, severity string, headline string, ttc double, first_seen double, escalations int, episode int"
+EVENTS = "zone_id string, t double, kind string, severity string, headline string, ttc double, detail string, first_seen double, escalations int, episode int"
 
 
 @dataclass
@@ -65,19 +66,19 @@ def advance(m: Machine, t: float, level: int, th: Thresholds) -> str | None:
 
 
 def folded(th: Thresholds):
-    """A function over batches of (zone_id, t, risk, headline, ttc), sorted by zone and time."""
+    """A function over batches of (zone_id, t, risk, headline, ttc, detail), sorted by zone and time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         zone, m, severity = None, Machine(), "green"
         for batch in batches:
             out = []
-            for z, t, risk, headline, ttc in batch[["zone_id", "t", "risk", "headline", "ttc"]].itertuples(index=False):
+            for z, t, risk, headline, ttc, detail in batch[["zone_id", "t", "risk", "headline", "ttc", "detail"]].itertuples(index=False):
                 if z != zone:
                     zone, m = z, Machine()
                 kind = advance(m, t, RANK[risk], th)
                 if kind:
                     severity = severity if kind == "resolved" else risk
-                    out.append((z, t, kind, severity, headline, ttc, m.first_seen, m.escalations, m.episode))
+                    out.append((z, t, kind, severity, headline, ttc, detail, m.first_seen, m.escalations, m.episode))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
 
     return run
@@ -85,7 +86,7 @@ def folded(th: Thresholds):
 
 def events(assessed: DataFrame, th: Thresholds) -> DataFrame:
     """The event log: one row for each fired, escalated or resolved alert."""
-    own = assessed.select("zone_id", "t", "risk", "headline", "ttc")
+    own = assessed.select("zone_id", "t", "risk", "headline", "ttc", "detail")
     return own.repartition("zone_id").sortWithinPartitions("zone_id", "t").mapInPandas(folded(th), EVENTS)
 
 
@@ -98,11 +99,13 @@ def numbered(log: DataFrame, start_seq: int = 0) -> DataFrame:
     return log.join(fired, ["zone_id", "episode"]).withColumn("seq", (F.col("_k") + start_seq).cast("long")).withColumn("alert_id", F.concat(F.lit("a"), F.col("seq"))).drop("_k")
 
 
-def message(headline: Column, ttc: Column) -> Column:
+def message(headline: Column, ttc: Column, detail: Column) -> Column:
+    """Title with the time to critical for a trend, with the signal's detail otherwise."""
+    ttc = F.round(ttc, 1)
     head = F.coalesce(F.nullif(headline, F.lit("")), F.lit("density"))
     title = F.coalesce(F.create_map(*[F.lit(v) for kv in TITLES.items() for v in kv])[head], head)
     lead = F.when(ttc >= 60, F.concat(F.bround(ttc / 60).cast("long"), F.lit(" min"))).otherwise(F.concat(F.bround(ttc).cast("long"), F.lit(" s")))
-    return F.when((head == "density_trend") & ttc.isNotNull(), F.concat(title, F.lit(" - "), lead, F.lit(" to critical"))).otherwise(title)
+    return F.when((head == "density_trend") & ttc.isNotNull(), F.concat(title, F.lit(" - "), lead, F.lit(" to critical"))).when(F.coalesce(detail, F.lit("")) != "", F.concat(title, F.lit(" - "), detail)).otherwise(title)
 
 
 def current(log: DataFrame) -> DataFrame:
@@ -113,7 +116,7 @@ def current(log: DataFrame) -> DataFrame:
     changed = F.when(F.col("kind") != "resolved", F.col("t"))
     last = lambda c: F.max_by(c, changed)
     return log.groupBy("alert_id", "seq", "zone_id").agg(
-        F.min("first_seen").alias("first_seen"), last("severity").alias("severity"), last("headline").alias("metric"), last(message(F.col("headline"), F.col("ttc"))).alias("message"),
+        F.min("first_seen").alias("first_seen"), last("severity").alias("severity"), last("headline").alias("metric"), last(message(F.col("headline"), F.col("ttc"), F.col("detail"))).alias("message"),
         F.max(changed).alias("ts"), F.max("escalations").alias("escalations"), F.max(F.when(F.col("kind") == "resolved", F.col("t"))).alias("resolved_at"),
     ).withColumn("state", F.when(F.col("resolved_at").isNull(), "active").otherwise("resolved"))
 

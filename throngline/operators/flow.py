@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..config import Region
-from ..functions.geometry import bearing
-from .zones import grid, membership
+from ..config import Region, Scene
+from ..functions.geometry import bearing, ground, project
+from .zones import grid, membership, with_density
 
 STATIC_SHARE, STATIC_LEAST, SMOOTH = 0.02, 0.15, 5
 
@@ -30,36 +31,57 @@ def on_grid(samples: DataFrame, step: int = 8) -> DataFrame:
     return samples.where((F.floor("x") % step == 0) & (F.floor("y") % step == 0))
 
 
-def zone_flow(samples: DataFrame, wanted: tuple[Region, ...], frames: int, m_per_px: float, dt: float = 1.0) -> DataFrame:
-    """Weighted mean speed, velocity variance, heading and coherence of every region at every frame; all zero without weight.
+def moved(samples: DataFrame, h: np.ndarray, dt: float) -> DataFrame:
+    """Adds vx, vy: ground metres a second between both projected ends of the movement; 0 where no time passed."""
+    at, to = project(h, F.col("x"), F.col("y")), project(h, F.col("x") + F.col("dx"), F.col("y") + F.col("dy"))
+    return samples.withColumns({n: (b - a) / dt if dt > 0 else F.lit(0.0) for n, a, b in zip(("vx", "vy"), at, to, strict=True)})
 
-    One pass: sums of w, w|v|, wv and w|v|^2, combined before the shuffle.
-    """
-    k = m_per_px / dt if dt > 0 else 0.0
-    w, vx, vy = F.col("weight"), F.col("dx") * k, F.col("dy") * k
+
+def flow_sums(w: Column) -> list[Column]:
+    """Sums of weight, speed, velocity, squared speed and pixel movement, combined before the shuffle."""
+    vx, vy = F.col("vx"), F.col("vy")
     s2 = vx * vx + vy * vy
-    sums = membership(samples, wanted).groupBy("frame", "zone_id").agg(F.sum(w).alias("w"), F.sum(w * F.sqrt(s2)).alias("ws"), F.sum(w * vx).alias("wx"), F.sum(w * vy).alias("wy"), F.sum(w * s2).alias("w2"), F.sum(w * F.col("dx")).alias("px"), F.sum(w * F.col("dy")).alias("py"))
-    full = grid(samples.sparkSession, wanted, frames).join(sums, ["frame", "zone_id"], "left")
+    return [F.sum(v).alias(n) for n, v in (("w", w), ("ws", w * F.sqrt(s2)), ("wx", w * vx), ("wy", w * vy), ("w2", w * s2), ("px", w * F.col("dx")), ("py", w * F.col("dy")))]
+
+
+def flow_figures(sums: DataFrame, *keep: str) -> DataFrame:
+    """Weighted mean speed, velocity variance, heading and coherence from the sums; all zero without weight."""
     there = F.col("w") > 1e-9
     mean = lambda c: F.when(there, F.col(c) / F.col("w")).otherwise(0.0)
-    d = full.select("frame", "zone_id", "ordinal", mean("ws").alias("speed"), mean("wx").alias("vx"), mean("wy").alias("vy"), mean("w2").alias("v2"), mean("px").alias("px"), mean("py").alias("py"))
+    d = sums.select("frame", "zone_id", "ordinal", *keep, mean("ws").alias("speed"), mean("wx").alias("vx"), mean("wy").alias("vy"), mean("w2").alias("v2"), mean("px").alias("px"), mean("py").alias("py"))
     drift = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))
     return d.select(
-        "frame", "zone_id", "ordinal", "speed",
+        "frame", "zone_id", "ordinal", *keep, "speed",
         F.greatest(F.col("v2") - drift * drift, F.lit(0.0)).alias("variance"),
         F.when((F.sqrt(F.col("px") * F.col("px") + F.col("py") * F.col("py")) > 0.25) & (F.col("speed") > 0.05), bearing(F.col("px"), F.col("py"))).alias("heading"),
         F.when(F.col("speed") > 1e-6, F.least(F.lit(1.0), drift / F.col("speed"))).otherwise(0.0).alias("coherence"),
     )
 
 
-def smoothed(flow: DataFrame) -> DataFrame:
-    """Medians over the last five results (zero ones included); headings by the medians of sine and cosine, nulls left out."""
+def zone_flow(samples: DataFrame, wanted: tuple[Region, ...], frames: tuple[int, int], h: np.ndarray, dt: float = 1.0) -> DataFrame:
+    """The flow figures of every region at every frame, in one pass over the samples."""
+    sums = membership(moved(samples, h, dt), wanted).groupBy("frame", "zone_id").agg(*flow_sums(F.col("weight")))
+    return flow_figures(grid(samples.sparkSession, wanted, frames).join(sums, ["frame", "zone_id"], "left"))
+
+
+def zone_state(samples: DataFrame, scene: Scene, wanted: tuple[Region, ...], frames: tuple[int, int], dt: float = 1.0) -> DataFrame:
+    """Mass, density and flow of every region at every frame: one membership and one aggregation for both."""
+    inside = membership(moved(samples, ground(scene), dt), wanted).groupBy("frame", "zone_id").agg(F.count("*").alias("samples"), F.sum("mass").alias("count"), *flow_sums(F.col("weight")))
+    full = grid(samples.sparkSession, wanted, frames).join(inside, ["frame", "zone_id"], "left")
+    return flow_figures(with_density(full, scene, wanted), "samples", "count", "density")
+
+
+def smoothed(flow: DataFrame, *keep: str) -> DataFrame:
+    """Medians over the last five results (zero ones included); headings by the medians of sine and cosine, nulls left out.
+
+    Headings whose medians cancel each other have none.
+    """
     last = Window.partitionBy("zone_id").orderBy("frame").rowsBetween(1 - SMOOTH, 0)
     mid = lambda c: F.percentile(c, F.lit(0.5)).over(last)
-    sin, cos = mid(F.sin(F.radians("heading"))), mid(F.cos(F.radians("heading")))
-    return flow.select("frame", "zone_id", "ordinal", mid(F.col("speed")).alias("speed"), mid(F.col("variance")).alias("variance"), F.pmod(F.degrees(F.atan2(sin, cos)), F.lit(360.0)).alias("heading"), mid(F.col("coherence")).alias("coherence"))
+    d = flow.select("frame", "zone_id", "ordinal", *keep, mid(F.col("speed")).alias("speed"), mid(F.col("variance")).alias("variance"), mid(F.sin(F.radians("heading"))).alias("_s"), mid(F.cos(F.radians("heading"))).alias("_c"), mid(F.col("coherence")).alias("coherence"))
+    return d.withColumn("heading", F.when(F.sqrt(F.col("_s") * F.col("_s") + F.col("_c") * F.col("_c")) > 1e-9, F.pmod(F.degrees(F.atan2("_s", "_c")), F.lit(360.0)))).drop("_s", "_c")
 
 
-def observations(mass: DataFrame, flow: DataFrame) -> DataFrame:
-    """zone_id, frame, t, density, count, speed, heading, variance."""
-    return mass.join(flow.drop("ordinal"), ["frame", "zone_id"]).select("zone_id", "ordinal", "frame", (F.lit(1000.0) + F.col("frame")).alias("t"), "density", "count", "speed", "heading", "variance")
+def observations(state: DataFrame) -> DataFrame:
+    """zone_id, ordinal, frame, t, density, count, speed, heading, variance of smoothed zone states."""
+    return smoothed(state, "density", "count").select("zone_id", "ordinal", "frame", (F.lit(1000.0) + F.col("frame")).alias("t"), "density", "count", "speed", "heading", "variance")

@@ -10,6 +10,8 @@ from ..config import Thresholds
 # Fixed values of the colour ramp: density, blue, green, red.
 ANCHORS = ((0.0, 150, 200, 120), (2.0, 120, 220, 235), (3.0, 60, 170, 250), (4.0, 55, 75, 240), (5.0, 90, 40, 170), (7.0, 120, 30, 120))
 TOP_DENSITY, COLOURS = 7.0, 256
+# Fixed values of the opacity: two slopes (density they start at, length, height) and the highest value.
+OPACITY, MOST_OPAQUE = ((0.0, 1.8, 165), (1.8, 2.5, 70)), 235
 
 
 def regrid(points: DataFrame, cell: int) -> DataFrame:
@@ -22,7 +24,7 @@ def colour_table(spark: SparkSession) -> DataFrame:
     d = np.linspace(0, TOP_DENSITY, COLOURS)
     stops = [a[0] for a in ANCHORS]
     bgr = [np.interp(d, stops, [a[k] for a in ANCHORS]).astype(np.uint8) for k in (1, 2, 3)]
-    alpha = np.clip(np.clip(d / 1.8, 0, 1) * 165 + np.clip((d - 1.8) / 2.5, 0, 1) * 70, 0, 235).astype(np.uint8)
+    alpha = np.clip(sum(np.clip((d - start) / length, 0, 1) * height for start, length, height in OPACITY), 0, MOST_OPAQUE).astype(np.uint8)
     alpha[0] = 0
     rows = [(i, float(d[i]), *(int(c[i]) for c in bgr), int(alpha[i])) for i in range(COLOURS)]
     return spark.createDataFrame(rows, "idx int, density double, b int, g int, r int, a int")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..config import Thresholds
 
 
-def corridor_status(mass: DataFrame, flow: DataFrame, th: Thresholds) -> DataFrame:
-    d = mass.join(flow.drop("ordinal"), ["frame", "zone_id"])
+def corridor_status(d: DataFrame, th: Thresholds) -> DataFrame:
+    """Status of smoothed corridor states (count, density, speed)."""
     slow = (F.col("speed") > 0) & (F.col("speed") < th.slow_speed_ms)
     status = F.when((F.col("density") >= th.corridor_restricted) | ((F.col("density") >= th.corridor_clear) & slow), "blocked").when(F.col("density") >= th.corridor_clear, "restricted").otherwise("clear")
     return d.select("frame", F.col("zone_id").alias("corridor_id"), "count", "density", "speed", status.alias("status"))
@@ -28,13 +31,23 @@ def count_error(points: DataFrame, width: int, height: int) -> DataFrame:
     return d.withColumn("error_pct", F.when(F.col("truth") > 0, 100.0 * (F.col("estimate") - F.col("truth")) / F.col("truth")))
 
 
-def rate_ewma(frames: DataFrame, span: int, alpha: float = 0.2) -> DataFrame:
-    """Sampling rate by exponential smoothing over the last `span` gaps; older ones weigh under (1 - alpha)**span.
+def rate_ewma(frames: DataFrame, alpha: float = 0.2) -> DataFrame:
+    """Sampling rate by exponential smoothing of the inverse gaps, from a key's first frame on; the first rate above 0 starts it.
 
-    `frames` has key, t. The sum over a bounded frame of rows has no recursion, so it needs no state.
+    `frames` has key, t. A fold over sorted partitions that keeps the last time and rate of one key only.
     """
-    order = Window.partitionBy("key").orderBy("t")
-    d = frames.withColumn("dt", F.col("t") - F.lag("t").over(order)).withColumn("inst", F.when(F.col("dt") > 0.01, 1.0 / F.col("dt")).otherwise(0.0))
-    got = F.collect_list("inst").over(order.rowsBetween(1 - span, 0))
-    fold = lambda a, v: F.when(a == 0.0, v).otherwise(a + alpha * (v - a))
-    return d.withColumn("fps", F.aggregate(got, F.lit(0.0), fold)).select("key", "t", "fps")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, last, fps = None, None, 0.0
+        for batch in batches:
+            out = []
+            for key, t in zip(batch["key"].tolist(), batch["t"].tolist(), strict=True):
+                if key != own:
+                    own, last, fps = key, None, 0.0
+                now = 1.0 / (t - last) if last is not None and t - last > 0.01 else 0.0
+                fps, last = (now if fps == 0.0 else fps + alpha * (now - fps)), t
+                out.append(fps)
+            yield batch[["key", "t"]].assign(fps=out)
+
+    own = frames.select("key", F.col("t").cast("double").alias("t")).where("t is not null")
+    return own.repartition("key").sortWithinPartitions("key", "t").mapInPandas(fold, T.StructType([*own.schema.fields]).add("fps", T.DoubleType()))

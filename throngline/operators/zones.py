@@ -52,16 +52,26 @@ def membership(points: DataFrame, wanted: tuple[Region, ...]) -> DataFrame:
     return met.where(F.expr(crossing)).drop("cx", "cy", "polygon")
 
 
-def grid(spark: SparkSession, wanted: tuple[Region, ...], frames: int) -> DataFrame:
-    """Every region at every frame, so that empty ones count as zero."""
+def grid(spark: SparkSession, wanted: tuple[Region, ...], frames: tuple[int, int]) -> DataFrame:
+    """Every region at every frame of a range (first, last), so that empty ones count as zero."""
     ids = F.array(*[F.struct(F.lit(r.id).alias("zone_id"), F.lit(i).alias("ordinal")) for i, r in enumerate(wanted)])
-    return spark.range(frames).select(F.col("id").alias("frame"), F.inline(ids))
+    return spark.range(frames[0], frames[1] + 1).select(F.col("id").alias("frame"), F.inline(ids))
 
 
-def zone_mass(points: DataFrame, scene: Scene, wanted: tuple[Region, ...], frames: int) -> DataFrame:
-    """count and density of every region at every frame, zero where nobody stands."""
+def frame_range(points: DataFrame) -> tuple[int, int]:
+    """First and last frame of the points; (0, -1) without any."""
+    low, high = points.agg(F.min("frame"), F.max("frame")).first()
+    return (0, -1) if low is None else (low, high)
+
+
+def with_density(full: DataFrame, scene: Scene, wanted: tuple[Region, ...]) -> DataFrame:
+    """Adds density to samples and count, which are zero where nobody stands."""
     areas = {r.id: max(G.region_area(scene, r), 1e-6) for r in wanted}
     area = F.create_map(*[F.lit(v) for kv in areas.items() for v in kv])[F.col("zone_id")]
-    mass = membership(points, wanted).groupBy("frame", "zone_id").agg(F.count("*").alias("samples"), F.sum("mass").alias("count"))
-    full = grid(points.sparkSession, wanted, frames).join(mass, ["frame", "zone_id"], "left")
     return full.withColumn("samples", F.coalesce("samples", F.lit(0)).cast("long")).withColumn("count", F.coalesce("count", F.lit(0.0))).withColumn("density", F.col("count") / area)
+
+
+def zone_mass(points: DataFrame, scene: Scene, wanted: tuple[Region, ...], frames: tuple[int, int]) -> DataFrame:
+    """count and density of every region at every frame, zero where nobody stands."""
+    mass = membership(points, wanted).groupBy("frame", "zone_id").agg(F.count("*").alias("samples"), F.sum("mass").alias("count"))
+    return with_density(grid(points.sparkSession, wanted, frames).join(mass, ["frame", "zone_id"], "left"), scene, wanted)

@@ -6,11 +6,17 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import DEFAULT_SCENE as SCENE
+from ..config import DEFAULT_SCENE
 from ..functions import geometry as G
 from ..operators import alerts, crowd, flow, heat, risk, state, zones
 from ..sources import bridge, store
 
+#: The scene of the queries: the default one seen at a slant, with a concave zone and a neighbour that isn't declared.
+CHANGED = {"exit_apron": {"polygon": ((0, 320), (960, 320), (960, 544), (480, 544), (480, 432), (0, 432))}, "ghat_west": {"neighbors": ("north_bank", "ghat_east", "west_approach")}}
+SCENE = replace(
+    DEFAULT_SCENE, world_points=((0.0, 0.0), (30.0, 0.0), (20.0, 34 / 3), (0.0, 34 / 3)),
+    regions=tuple(replace(r, **CHANGED.get(r.id, {})) for r in DEFAULT_SCENE.regions),
+)
 TH, M_PER_PX = SCENE.thresholds, 1 / bridge.PIXELS_PER_M
 
 
@@ -28,13 +34,16 @@ def _points(spark, d):
     return bridge.detections(bridge.events(spark, d))
 
 
-def _observations(spark, d):
-    p = _points(spark, d)
-    return flow.observations(zones.zone_mass(p, SCENE, SCENE.zones, bridge.FRAMES), _smoothed(spark, d, SCENE.zones))
+def _samples(spark, d):
+    return flow.remove_jitter(bridge.flow_samples(_points(spark, d)))
+
 
+def _state(spark, d, wanted):
+    return flow.zone_state(_samples(spark, d), SCENE, wanted, zones.frame_range(_points(spark, d)))
 
-def _smoothed(spark, d, wanted):
-    return flow.smoothed(flow.zone_flow(bridge.flow_samples(_points(spark, d)), wanted, bridge.FRAMES, M_PER_PX))
+
+def _observations(spark, d):
+    return flow.observations(_state(spark, d, SCENE.zones))
 
 
 def _assessed(spark, d):
@@ -77,7 +86,7 @@ def zone_membership(spark, d):
 
 
 def zone_density(spark, d):
-    return _r(zones.zone_mass(_points(spark, d), SCENE, SCENE.zones, bridge.FRAMES).select("frame", "zone_id", "samples", "count", "density"), "count", "density")
+    return _r(zones.zone_mass(_points(spark, d), SCENE, SCENE.zones, zones.frame_range(_points(spark, d))).select("frame", "zone_id", "samples", "count", "density"), "count", "density")
 
 
 def density_regrid(spark, d):
@@ -107,13 +116,12 @@ def blob_components(spark, d):
 
 
 def flow_jitter_removed(spark, d):
-    s = bridge.flow_samples(_points(spark, d)).withColumn("weight", F.least("value", F.lit(200.0)) * F.least("value", F.lit(200.0)))
-    g = flow.remove_jitter(s).groupBy("frame").agg(F.count("*").alias("n"), F.count_if("static").alias("n_static"), F.max("jitter_x").alias("jitter_x"), F.max("jitter_y").alias("jitter_y"), F.avg("dx").alias("dx"), F.avg("dy").alias("dy"))
+    g = _samples(spark, d).groupBy("frame").agg(F.count("*").alias("n"), F.count_if("static").alias("n_static"), F.max("jitter_x").alias("jitter_x"), F.max("jitter_y").alias("jitter_y"), F.avg("dx").alias("dx"), F.avg("dy").alias("dy"))
     return _r(g, "jitter_x", "jitter_y", "dx", "dy")
 
 
 def zone_flow(spark, d):
-    f = flow.zone_flow(bridge.flow_samples(_points(spark, d)), SCENE.zones, bridge.FRAMES, M_PER_PX)
+    f = flow.zone_flow(_samples(spark, d), SCENE.zones, zones.frame_range(_points(spark, d)), G.ground(SCENE))
     return _r(_off_ties(f, "speed").select("frame", "zone_id", "speed", "variance", "heading", "coherence"), "speed", "variance", "heading", "coherence")
 
 
@@ -136,6 +144,18 @@ def assess_scene(spark, d):
     return _r(_assessed(spark, d).select("zone_id", "frame", "density", "risk", "headline", "band", "trend", "action"), "density")
 
 
+def signals_long(spark, d):
+    """The published signals, a row each."""
+    s = _assessed(spark, d).select("zone_id", "frame", F.posexplode("signals").alias("ord", "s"))
+    return _r(s.select("zone_id", "frame", "ord", "s.name", "s.level", (F.col("s.value") + 0.0).alias("value"), "s.detail"), "value", places=3)
+
+
+def zone_states(spark, d):
+    """Zone states as published, rounded."""
+    a = _off_ties(_assessed(spark, d), "count", "density", "speed", "heading", "variance", "pressure", "ttc")
+    return risk.published(a, SCENE).select("zone_id", "name", "frame", "count", "area_m2", "density", "band", "risk", "trend", "ttc", "speed", "heading", "variance", "pressure", "headline")
+
+
 def risk_changes(spark, d):
     return risk.changes(_assessed(spark, d)).select("zone_id", "frame", "risk", "headline")
 
@@ -150,8 +170,8 @@ def zones_worst_first(spark, d):
 
 
 def corridor_status(spark, d):
-    m = zones.zone_mass(_points(spark, d), SCENE, SCENE.corridors, bridge.FRAMES)
-    return _r(state.corridor_status(m, _smoothed(spark, d, SCENE.corridors), TH), "count", "density", "speed")
+    s = flow.smoothed(_state(spark, d, SCENE.corridors), "count", "density")
+    return _r(state.corridor_status(s, TH).select("frame", "corridor_id", "count", "density", "speed", "status"), "count", "density", "speed")
 
 
 def totals(spark, d):
@@ -164,7 +184,7 @@ def count_error(spark, d):
 
 def fps_ewma(spark, d):
     t = bridge.events(spark, d).select(F.col("event_type").alias("key"), F.col("event_id").cast("double").alias("t"))
-    return _r(state.rate_ewma(t, 60), "fps", places=2)
+    return _r(state.rate_ewma(t), "fps")
 
 
 def alert_events(spark, d):
@@ -178,7 +198,7 @@ def alert_events_quick(spark, d):
 
 
 def alerts_current(spark, d):
-    return _alerts(spark, d).select("alert_id", "seq", "zone_id", "severity", "metric", "state", "ts", "first_seen", "escalations", "resolved_at")
+    return _alerts(spark, d).select("alert_id", "seq", "zone_id", "severity", "metric", "message", "state", "ts", "first_seen", "escalations", "resolved_at")
 
 
 def alerts_live(spark, d):
@@ -236,7 +256,7 @@ def truth_points(spark, d):
 QUERIES = {f.__name__: f for f in (
     detections, flow_samples, sampled_latest_per_bucket, region_geometry, pixel_area_profile, unknown_neighbours, zone_membership, zone_density,
     density_regrid, heat_cells, heat_lut, band_legend, detection_splat, blob_components, flow_jitter_removed, zone_flow, observations,
-    density_slope, risk_signals, assess_scene, risk_changes, latest_per_zone, zones_worst_first, corridor_status, totals, count_error, fps_ewma,
+    density_slope, risk_signals, signals_long, zone_states, assess_scene, risk_changes, latest_per_zone, zones_worst_first, corridor_status, totals, count_error, fps_ewma,
     alert_events, alert_events_quick, alerts_current, alerts_live, alerts_recent, alert_feed, max_alert_seq, retention_purge, audit_tail, radius_neighbours, local_density,
     scenario_phase, spawn_schedule, truth_points,
 )}

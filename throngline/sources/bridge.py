@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-FRAMES, START, PIXELS_PER_M = 720, 1000.0, 32.0
+#: Seconds of the first frame; people per sample are set for so many frames of a full site; pixels a metre of the plan view.
+START, SITE_FRAMES, PIXELS_PER_M = 1000.0, 720, 32.0
 _DAY0 = "2024-01-01"
 
 
@@ -24,16 +25,16 @@ def detections(events: DataFrame) -> DataFrame:
     return e.select(
         "event_id", "event_type", "value", "frame", (F.lit(START) + F.col("frame")).alias("t"),
         ((F.col("event_id") * 37) % 960 + 0.5).alias("x"), ((F.col("event_id") * 91) % 544 + 0.5).alias("y"),
-        m.alias("demand"), ((0.4 + 1.6 * m) * (2.2 * 510 * FRAMES / n)).alias("mass"),
+        m.alias("demand"), ((0.4 + 1.6 * m) * (2.2 * 510 * SITE_FRAMES / n)).alias("mass"),
     )
 
 
 def flow_samples(points: DataFrame) -> DataFrame:
-    """Detections with their movement (dx, dy) in pixels since the frame before, one second earlier."""
+    """Detections with their movement (dx, dy) in pixels since the frame before, one second earlier, and a weight by value."""
     turn = F.create_map(*[F.lit(x) for kv in {"click": -2, "error": -1, "purchase": 0, "signup": 1, "view": 2}.items() for x in kv])
     theta = F.radians(F.when(F.col("y") < 256, 180.0).otherwise(0.0) + 24.0 * turn[F.col("event_type")])
     v = PIXELS_PER_M * (0.75 + F.least("value", F.lit(200.0)) / 800.0) * (1.2 - F.col("demand"))
-    return points.select("event_id", "frame", "t", "x", "y", "value", F.col("mass").alias("weight"), (v * F.sin(theta)).alias("dx"), (-v * F.cos(theta)).alias("dy"))
+    return points.select("event_id", "frame", "t", "x", "y", "value", "mass", (F.least("value", F.lit(200.0)) * F.least("value", F.lit(200.0))).alias("weight"), (v * F.sin(theta)).alias("dx"), (-v * F.cos(theta)).alias("dy"))
 
 
 def latest_per_bucket(events: DataFrame, seconds: int) -> DataFrame:

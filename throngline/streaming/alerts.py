@@ -20,21 +20,21 @@ STATE = "pending double, severity int, clear double, resolved double, first_seen
 
 
 def events(assessed: DataFrame, th: Thresholds) -> DataFrame:
-    """The alert event log of a stream with the columns zone_id, t, risk, headline, ttc."""
+    """The alert event log of a stream with the columns zone_id, t, risk, headline, ttc, detail."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         *own, last, severity = state.get if state.exists else (*astuple(Machine()), None, "green")
         m, out = Machine(*own), []
         for batch in [pd.concat(list(batches))]:
-            for t, risk, headline, ttc in batch.sort_values("t")[["t", "risk", "headline", "ttc"]].itertuples(index=False):
+            for t, risk, headline, ttc, detail in batch.sort_values("t")[["t", "risk", "headline", "ttc", "detail"]].itertuples(index=False):
                 if last is not None and t <= last:
                     continue
                 last, kind = t, advance(m, t, RANK[risk], th)
                 if kind:
                     severity = severity if kind == "resolved" else risk
-                    out.append((key[0], t, kind, severity, headline, ttc, m.first_seen, m.escalations, m.episode))
+                    out.append((key[0], t, kind, severity, headline, ttc, detail, m.first_seen, m.escalations, m.episode))
         state.update((*astuple(m), last, severity))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
 
-    own = assessed.select("zone_id", "t", "risk", "headline", "ttc")
+    own = assessed.select("zone_id", "t", "risk", "headline", "ttc", "detail")
     return own.groupBy("zone_id").applyInPandasWithState(step, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
