@@ -1,9 +1,9 @@
 """Operator 5: main text of HTML pages, with site templates removed.
 
 A page is read into elements and text pieces. Elements that are never article text (scripts, styles, forms, menus,
-headers outside the article, footers, asides, adverts, notices, comments: by tag, role, hidden state or a word of
-their class or id) are left out with all they hold. The content is the largest ``article`` element, else the
-largest ``main``, else the body without menus made of links.
+headers outside the article, footers, asides, adverts, notices, comments: by tag, role, hidden state, or a name of
+their class or id that says just this, such as "comments" or "share-buttons", but not "share-price") are left out with all
+they hold. The content is all outermost ``article`` elements, else all outermost ``main``, else the body without menus made of links.
 
 Site templates: every block element of the content gets the hash of its subtree (tag, text, children). Spark counts
 each hash per host over distinct pages, copies of one page counting once, and a subtree that recurs on at least
@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .text import table
+from .text import Tables, free, table
 
 MIN_PAGES, SHARE, BROADCAST_TEMPLATES = 8, 0.5, 200_000
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+|[^>]*+)>|<[!?][^>]*+>|<[A-Za-z/][^>]*+\Z""", re.DOTALL)
@@ -36,14 +36,15 @@ _RAW = {n: re.compile(rf"</{n}\s*>?", re.IGNORECASE) for n in ("script", "style"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section select summary table tbody tfoot thead tr ul".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-_NEVER = frozenset("head nav footer aside form script style select option button input textarea noscript iframe object embed applet svg math canvas audio video map template dialog menu datalist label fieldset title".split())
+_NEVER = frozenset("head nav footer aside form script style select option button input textarea noscript iframe object embed applet canvas audio video map template dialog menu datalist fieldset title".split())
 _ENDS_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 _SCOPE = frozenset("ul ol dl table article section div main body html aside nav footer form header blockquote".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 _WORDS = frozenset("""nav navbar navigation menu submenu breadcrumb breadcrumbs masthead banner footer sidebar widget widgets ad ads advert adverts advertisement
     adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login
     comment comments commentlist disqus respond reply replies related recommended recommendations share sharing social search pagination pager skip toolbar disclaimer hidden""".split())
-_NOT_WITH = frozenset("has with no without layout wrapper container page site".split())
+#: What may stand beside such a word in a name that still says no more than it.
+_BESIDE = frozenset("area bar banner block body bottom box button buttons container content form group icon icons inner item items left link links list main outer page post posts primary right row section secondary site slot text title top unit wrap wrapper".split())
 _MASK = (1 << 64) - 1
 
 
@@ -59,9 +60,11 @@ def _excluded(tag: str, attributes: str, in_article: bool) -> bool:
         if name == "role" and value in _ROLES:
             return True
         if name in ("class", "id"):
-            words = set(re.split(r"[^a-z]+", value))
-            if words & _WORDS and not words & _NOT_WITH or "header" in words and not in_article:
-                return True
+            for token in value.split():
+                words = set(re.split(r"[^a-z]+", token)) - {""}
+                own = words & _WORDS or not in_article and words & {"header"}
+                if own and not words - own - _BESIDE and not words & {"layout"}:
+                    return True
     return False
 
 
@@ -82,6 +85,9 @@ class Page:
     def _read(self, source: str) -> None:
         stack, skip, links, articles, at, size = [0], 0, 0, 0, 0, len(source)
         tags = self.tag
+        # places in the stack by tag, of blocks and of scopes: no search through open elements
+        places: dict[str, list[int]] = {}
+        blocks, scopes = [0], [0]
 
         def text(piece: str) -> None:
             piece = references.unescape(piece) if "&" in piece else piece
@@ -97,6 +103,9 @@ class Page:
             nonlocal links, articles, skip
             while len(stack) > n:
                 e = stack.pop()
+                for known in (places[tags[e]], blocks, scopes):
+                    if known[-1:] == [len(stack)]:
+                        known.pop()
                 if skip and len(stack) < skip:
                     skip = 0
                 links -= tags[e] == "a"
@@ -121,22 +130,15 @@ class Page:
                 continue
             name = name.lower()
             if m[1]:
-                for n in range(len(stack) - 1, 0, -1):
-                    own = tags[stack[n]]
-                    if own == name:
-                        leave(n)
-                        break
-                    if name not in _BLOCK and own in _BLOCK:
-                        break
+                own = places.get(name)
+                if own and (name in _BLOCK or own[-1] > blocks[-1]):
+                    leave(own[-1])
                 continue
             ends = _ENDS_ITSELF.get(name) or (_ENDS_ITSELF["p"] if name in _BLOCK else None)
             if ends:
-                for n in range(len(stack) - 1, 0, -1):
-                    if tags[stack[n]] in ends:
-                        leave(n)
-                        break
-                    if tags[stack[n]] in _SCOPE:
-                        break
+                n = max((places[t][-1] for t in ends if places.get(t)), default=0)
+                if n > scopes[-1]:
+                    leave(n)
             if name in _VOID:
                 if not skip:
                     self._flush() if name == "hr" else text(" ")
@@ -154,6 +156,9 @@ class Page:
             tags.append(name)
             self.hash.append(xxhash.xxh3_64_intdigest(name))
             self.filled.append(False)
+            for known, wanted in ((places.setdefault(name, []), True), (blocks, name in _BLOCK), (scopes, name in _SCOPE)):
+                if wanted:
+                    known.append(len(stack))
             stack.append(e)
             links += name == "a"
             if not skip and _excluded(name, m[3], articles > 0):
@@ -164,46 +169,42 @@ class Page:
         leave(1)
         self._flush()
 
-    def root(self) -> int:
-        """The content element."""
-        inside: dict[int, int] = {}
-        outermost: dict[int, dict[str, int]] = {0: {}}
+    def roots(self) -> set[int]:
+        """The content elements: outermost articles with text, else outermost mains, else the page."""
+        above: list[tuple[int, int]] = [(0, 0)]  # outermost article and main of each element
         for e in range(1, len(self.parent)):
-            up = outermost[self.parent[e]]
-            outermost[e] = up | {self.tag[e]: e} if self.tag[e] in ("article", "main") and self.tag[e] not in up else up
-        for block in self.blocks:
-            for e, piece, _ in block:
-                for r in outermost[e].values():
-                    inside[r] = inside.get(r, 0) + len(piece)
-        for kind in ("article", "main"):
-            own = [(-n, e) for e, n in inside.items() if self.tag[e] == kind]
-            if own:
-                return min(own)[1]
-        return 0
-
-    def _within(self, root: int) -> list[bool]:
-        out = [root == 0] * len(self.parent)
+            article, main = above[self.parent[e]]
+            above.append((article or e * (self.tag[e] == "article"), main or e * (self.tag[e] == "main")))
+        held = {e for block in self.blocks for e, piece, _ in block if piece.strip()}
+        for kind in (0, 1):
+            found = {above[e][kind] for e in held} - {0}
+            if found:
+                return found
+        return {0}
+
+    def _within(self, roots: set[int]) -> list[bool]:
+        out = [0 in roots] * len(self.parent)
         for e in range(1, len(self.parent)):
-            out[e] = e == root or out[self.parent[e]]
+            out[e] = e in roots or out[self.parent[e]]
         return out
 
     def subtrees(self) -> set[int]:
-        """Hashes of the block elements of the content that hold text, without the content element itself."""
-        root = self.root()
-        within = self._within(root)
-        return {h for e, h in enumerate(self.hash) if within[e] and e != root and self.filled[e] and self.tag[e] in _BLOCK}
+        """Hashes of the block elements of the content that hold text, without the content elements themselves."""
+        roots = self.roots()
+        within = self._within(roots)
+        return {h for e, h in enumerate(self.hash) if within[e] and e not in roots and self.filled[e] and self.tag[e] in _BLOCK}
 
     def text(self, templates: frozenset[int]) -> str:
-        root = self.root()
-        within = self._within(root)
+        roots = self.roots()
+        within = self._within(roots)
         for e in range(1, len(within)):
-            if e != root and (not within[self.parent[e]] and within[e] or self.filled[e] and self.tag[e] in _BLOCK and self.hash[e] in templates):
+            if e not in roots and (not within[self.parent[e]] and within[e] or self.filled[e] and self.tag[e] in _BLOCK and self.hash[e] in templates):
                 within[e] = False
         out = []
         for block in self.blocks:
             own = [(piece, link) for e, piece, link in block if within[e]]
             line = " ".join("".join(p for p, _ in own).split())
-            if line and not (root == 0 and all(link or not p.strip() for p, link in own)):
+            if line and not (0 in roots and all(link or not p.strip() for p, link in own)):
                 out.append(line)
         return "\n".join(out)
 
@@ -227,17 +228,19 @@ def outlined(column: pa.Array) -> pa.Array:
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, subtree) of the subtrees that recur; `pages` has the columns host, html."""
+    """(host, subtree) of the subtrees that recur; `pages` has the columns host, html. Each page is read once; counts of fewer pages aren't kept."""
     seen = pages.select("host", outlined("html").alias("o")).select("host", "o.page", F.explode(F.concat(F.array(F.lit(None).cast("long")), "o.subtrees")).alias("subtree"))
     counts = seen.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    counts = Tables(pages.sparkSession).keep("counts", counts)
     whole = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
     return counts.where("subtree is not null").join(whole, "host").where(F.col("n") >= share * F.col("pages")).select("host", "subtree")
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES, share: float = SHARE, broadcast_templates: int = BROADCAST_TEMPLATES, out: str = "main_text") -> DataFrame:
-    """`pages` with the main text in the column `out`."""
-    own = pages.withColumn("_host", F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), _HOST, 1)))
-    found = templates(own.select(F.col("_host").alias("host"), F.col(html).alias("html")), min_pages, share)
+    """`pages` with the main text in the column `out`, which is replaced if it is there."""
+    host, given = free(pages, "host"), free(pages, "templates")
+    own = pages.withColumn(host, F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), _HOST, 1)))
+    found = templates(own.select(F.col(host).alias("host"), F.col(html).alias("html")), min_pages, share)
     few = found.limit(broadcast_templates + 1).collect()
     if len(few) <= broadcast_templates:
         by_host: dict[str, set[int]] = {}
@@ -250,14 +253,14 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", min_pages: i
             none: frozenset[int] = frozenset()
             return pa.array([Page(s.as_py()).text(shared.value.get(h.as_py(), none)) if s.as_py() else "" for s, h in zip(sources, hosts, strict=True)], pa.string())
 
-        return own.withColumn(out, cleaned(F.col(html), "_host")).drop("_host")
+        return own.withColumn(out, cleaned(F.col(html), host)).drop(host)
 
     @F.arrow_udf(T.StringType())
     def cleaned_by(sources: pa.Array, lists: pa.Array) -> pa.Array:
         return pa.array([Page(s.as_py()).text(frozenset(x & _MASK for x in (own.as_py() or ()))) if s.as_py() else "" for s, own in zip(sources, lists, strict=True)], pa.string())
 
-    lists = found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("subtree").alias("_templates"))
-    return own.join(lists, "_host", "left").withColumn(out, cleaned_by(F.col(html), "_templates")).select(*[F.col(f"`{c}`") for c in pages.columns if c != out], out)
+    lists = found.groupBy(F.col("host").alias(host)).agg(F.collect_set("subtree").alias(given))
+    return own.join(lists, host, "left").withColumn(out, cleaned_by(F.col(html), given)).select(*[F.col(f"`{c}`") for c in pages.columns if c != out], out)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
