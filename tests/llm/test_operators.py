@@ -164,6 +164,37 @@ def test_html_pages(spark):
         assert r["text"] == "\n".join(x for x in parts if x) and r["n_chars"] == len(r["text"])
 
 
+@pytest.mark.parametrize(
+    ("inside", "want"),
+    [
+        ("<div class='share-price'>The price rose.</div>", "The price rose."), ("<p id='search-theory'>On search.</p>", "On search."), ("<p class='notice-period'>Three months.</p>", "Three months."),
+        ("<p>Let <math><mi>x</mi></math> be</p>", "Let x be"), ("<p><label>Fig. 1</label> A map</p>", "Fig. 1 A map"), ("<div class='share-buttons'>Tweet</div><p>a</p>", "a"), ("<div id='comments'>Nice</div><p>a</p>", "a"),
+        ("<p class='lead related-posts'>More</p><p>a</p>", "a"), ("<p>one</p></article><div>ad</div><article><p>two</p>", "one\ntwo"), ("<ul><li>a<li>b</ul></b></i>", "a\nb"),
+    ],
+)
+def test_inside_an_article(inside, want):
+    assert html.Page(f"<body><div>Menu</div><article>{inside}</article><p>outside</p></body>").text(frozenset()) == want
+
+
+def test_parser_is_linear():
+    import time
+
+    took = []
+    for n in (4_000, 32_000):
+        start = time.process_time()
+        html.Page("<article>" + "<span>" * n + "x</b></i><li>" * n).text(frozenset())
+        took.append(time.process_time() - start)
+    assert took[1] < 24 * max(took[0], 0.02)
+
+
+def test_letters(spark):
+    """Numbers that look like letters are none."""
+    docs = spark.createDataFrame([(1, "½ ²"), (2, "① Ⅷ 12"), (3, "a½")], "doc_id long, text string")
+    code = langid.fit(spark.createDataFrame([("en", "some words of text"), ("de", "ein paar andere Wörter")], "lang string, text string"))
+    got = {r["doc_id"]: r["language"]["lang"] for r in langid.identify(docs, code).collect()}
+    assert got[1] == got[2] == "und" and got[3] in ("en", "de")
+
+
 def test_site_templates(spark):
     page = lambda i: f"<body><div class=x><p>Same on all pages</p></div><div><p>Own words {i}<p>a &lt; b &amp c {i}</div><div class='comments'>no</div><script>var p='<p>';</script></body>"
     rows = [(i, f"http://h.org/{i}", page(i)) for i in range(12)] + [(99, "http://other.org/", page(99)), (100, None, None), (101, "x", "")]

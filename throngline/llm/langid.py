@@ -20,7 +20,6 @@ they stand; more than ``MOST_LANGS`` languages are refused (the counts per bucke
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,6 @@ EXHAUSTIVE, BITS, MOST_LANGS = 5, 31, 256
 SAMPLE_ROWS = 4_000
 MARGIN, SLOPE, SCALE = 0.5, 6.0, 1_000
 _CELLS = BUCKETS * len(LENGTHS)
-_LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters in lower case and bytes beyond ASCII stay, anything else becomes a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _COUNTS = "lang string, cells array<int>, n array<long>"
@@ -179,7 +177,7 @@ def identify(docs: DataFrame, code: Code | None, text: str = "text", out: str =
         code, texts = shared.value, utf8(column)
         out: list = [("und", 0.0, True)] * len(texts)
         for a, b in chunks(texts, 1 << 18):
-            own = {i: t for i in range(a, b) if texts[i] and _LETTER.search(t := texts[i].decode())}
+            own = {i: t for i in range(a, b) if texts[i] and any(map(str.isalpha, t := texts[i].decode()))}
             if own and code:
                 for i, got in zip(own, code.decode([t.lower().encode() for t in own.values()]), strict=True):
                     out[i] = got
