@@ -4,7 +4,8 @@ Severity grades 0..K-1 are predicted from sparse text features x with one weight
 P(grade > k) = sigmoid(w.x - t_k), t_0 < t_1 < ... The expected severity is the sum of these probabilities. A feature
 is a whole word or a word's beginning of 4 to 8 letters (inflected and compound words share it), present at one of LEVELS:
 so many times, and so many times in so many words. The features taken are those that at least ``MIN_ROWS`` sampled
-rows of positive grade have, with a share above that of the other rows by ``SURE`` standard errors. The fit takes
+rows of positive grade have, with a share above that of the other rows by ``SURE`` standard errors; all of them, and whole texts, are
+used. Weights below 0 are not allowed (a word can't excuse another): features that get one leave the fit. The fit takes
 Newton steps on a bounded sample of ``sample_rows`` graded rows (those of the smallest hashes), of which near copies count once; scoring
 covers whole texts of all rows with fixed-point weights, so that no sum depends on an order.
 
@@ -33,8 +34,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .text import alnum_words, chunks, table, utf8
 
 SAMPLE_ROWS = 8_000
-#: Distinct words of a sampled row that the fit sees (those of the smallest hashes), and features of the model, at most.
-SAMPLE_WORDS, MOST_FEATURES = 2_000, 600
 #: Least count, and most words of text to one occurrence (0: any).
 LEVELS = ((1, 0), (2, 500), (3, 250))
 BEGINNINGS = range(4, 9)
@@ -104,7 +103,7 @@ def features(rows: list[list[tuple[bytes, int]]], positive: list[bool]) -> list[
         return (held[f] / n - rest[f] / m) / math.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
 
     found = [(-s, f) for f in held if held[f] >= MIN_ROWS and (s := sure(f)) >= SURE]
-    return [f for _, f in sorted(found)[:MOST_FEATURES]]
+    return [f for _, f in sorted(found)]
 
 
 def newton(x: np.ndarray, over: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +185,7 @@ def sampled(docs: DataFrame, labels: DataFrame, grade: str, text: str, doc_id: s
         for t in utf8(column):
             words = alnum_words(t or b"")
             tally = Counter(words)
-            some = sorted(tally, key=xxhash.xxh3_64_intdigest)[:SAMPLE_WORDS]
+            some = sorted(tally, key=xxhash.xxh3_64_intdigest)
             out.append({"n": len(words), "words": some, "counts": [tally[w] for w in some]})
         return pa.array(out, pa.struct([("n", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32()))]))
 
@@ -225,7 +224,7 @@ _ARROW = pa.struct([("grade", pa.int64()), ("severity", pa.float64()), ("toxic",
 
 def assess(docs: DataFrame, scale: Scale, text: str = "text", threshold: float | None = None, out: str = "toxicity") -> DataFrame:
     """`docs` with the struct column `out` (grade, severity, toxic)."""
-    shared = docs.sparkSession.sparkContext.broadcast(scale)  # MOST_FEATURES numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(scale)  # a number for each surely positive feature of the sample
 
     @F.arrow_udf(_RESULT)
     def scored(column: pa.Array) -> pa.Array:
