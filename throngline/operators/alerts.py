@@ -121,6 +121,12 @@ def current(log: DataFrame) -> DataFrame:
     ).withColumn("state", F.when(F.col("resolved_at").isNull(), "active").otherwise("resolved"))
 
 
+def announced(log: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The first event of every alert and severity that isn't resolved and not among the (alert_id, severity) known already."""
+    new = log.where("kind <> 'resolved'").groupBy("alert_id", "zone_id", "severity").agg(F.min("t").alias("t"))
+    return new if known is None else new.join(known, ["alert_id", "severity"], "left_anti")
+
+
 def rank(severity: Column) -> Column:
     return F.when(severity == "red", 2).when(severity == "amber", 1).otherwise(0)
 

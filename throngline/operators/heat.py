@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..config import Thresholds
+from ..config import Scene, Thresholds
+from ..functions.geometry import ground
 
 # Fixed values of the colour ramp: density, blue, green, red.
 ANCHORS = ((0.0, 150, 200, 120), (2.0, 120, 220, 235), (3.0, 60, 170, 250), (4.0, 55, 75, 240), (5.0, 90, 40, 170), (7.0, 120, 30, 120))
@@ -81,12 +82,72 @@ def blobs(cells: DataFrame, cell_pixels: float = 78.0) -> DataFrame:
     return d.groupBy("frame", "label").agg(F.count("*").alias("cells"), F.sum("pixels").alias("pixels")).withColumn("people", F.greatest(F.lit(1.0), F.col("pixels") / cell_pixels))
 
 
+def mask(gray: DataFrame, offset: float = 40.0) -> DataFrame:
+    """Dark pixels (frame, cx, cy) of gray grids (frame, cx, cy, gray): below the frame's median less `offset`, opened by 2 x 2.
+
+    Opening leaves a pixel if one of the four up and left of it (itself included) has all four up and left of it in the
+    mask; pixels beyond the edge don't count. Both steps are a four-fold explode and a keyed sum.
+    """
+    middle = gray.groupBy("frame").agg(F.percentile("gray", F.lit(0.5)).alias("middle"), F.min("cx").alias("x0"), F.min("cy").alias("y0"))
+    dark = gray.join(middle, "frame").where(F.col("gray") < F.col("middle") - offset).select("frame", "cx", "cy", "x0", "y0")
+    four = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
+    spread = lambda d: d.select("frame", "x0", "y0", "cx", "cy", F.inline(four)).withColumns({"cx": F.col("cx") + F.col("i"), "cy": F.col("cy") + F.col("j")})
+    own = spread(dark).groupBy("frame", "x0", "y0", "cx", "cy").agg(F.count("*").alias("n"))
+    within = (1 + (F.col("cx") > F.col("x0")).cast("int")) * (1 + (F.col("cy") > F.col("y0")).cast("int"))
+    eroded = own.where(F.col("n") == within)
+    size = gray.groupBy("frame").agg(F.max("cx").alias("x1"), F.max("cy").alias("y1"))
+    grown = spread(eroded).select("frame", "cx", "cy").distinct().join(size, "frame")
+    return grown.where("cx <= x1 and cy <= y1").select("frame", "cx", "cy")
+
+
+def kernel(sigma: float) -> list[float]:
+    """Gaussian weights of an odd width of about three sigma, with sum 1."""
+    half = (int(sigma * 3) | 1) // 2
+    w = [float(np.exp(-(i * i) / (2 * sigma * sigma))) for i in range(-half, half + 1)]
+    return [v / sum(w) for v in w]
+
+
+def blurred(cells: DataFrame, axis: str, size: int, weights: list[float]) -> DataFrame:
+    """Mass (frame, cx, cy, mass) spread along an axis of `size` cells; what would leave comes back mirrored at the edge cells."""
+    half, at, end = len(weights) // 2, F.col(axis), size - 1
+    mirrored = F.array_compact(F.array(at, F.when(at > 0, -at), F.when(at < end, 2 * end - at)))
+    d = cells.withColumn("_from", F.explode(mirrored)).where(F.col("_from").between(-half, end + half))
+    d = d.withColumn("_o", F.explode(F.sequence(F.lit(-half), F.lit(half)))).withColumn("_to", F.col("_from") + F.col("_o")).where(F.col("_to").between(0, end))
+    d = d.withColumn("mass", F.col("mass") * F.get(F.array(*map(F.lit, weights)), F.col("_o") + half)).withColumn(axis, F.col("_to"))
+    return d.groupBy("frame", "cx", "cy").agg(F.sum("mass").alias("mass"))
+
+
+def density_field(points: DataFrame, scene: Scene, cell: int, smooth_m: float = 0.75) -> DataFrame:
+    """People per square metre of every cell, smoothed by about a metre: cell masses blurred along both axes, divided by the cell's ground area.
+
+    Cell areas are sums over the cell's pixels; the width of the blur follows from their median, between 3 and 60 cells.
+    """
+    (width, height), h = scene.frame_size, ground(scene)
+    nx, ny = width // cell, height // cell
+    area = np.abs(np.linalg.det(h)) / np.maximum(np.abs(h[2, 0] * (np.arange(nx * cell) + 0.5)[None, :] + h[2, 1] * (np.arange(ny * cell) + 0.5)[:, None] + h[2, 2]), 1e-9) ** 3
+    area = area.reshape(ny, cell, nx, cell).sum(axis=(1, 3))
+    weights = kernel(float(np.clip(smooth_m / np.sqrt(np.median(area)), 3.0, 60.0)))
+    inside = regrid(points, cell).where(F.col("cx").between(0, nx - 1) & F.col("cy").between(0, ny - 1))
+    smooth = blurred(blurred(inside, "cx", nx, weights), "cy", ny, weights)
+    areas = points.sparkSession.createDataFrame([(x, y, float(area[y, x])) for x in range(nx) for y in range(ny)], "cx long, cy long, area_m2 double")
+    return smooth.join(areas, ["cx", "cy"]).select("frame", "cx", "cy", (F.col("mass") / F.greatest("area_m2", F.lit(1e-9))).alias("density"))
+
+
+def shown(field: DataFrame, every_s: int) -> DataFrame:
+    """The highest density and its colour of each published field: the first frame of every `every_s` seconds."""
+    d = field.groupBy("frame").agg(F.max("density").alias("heat_max"))
+    first = d.groupBy(F.floor(F.col("frame") / every_s).alias("_s")).agg(F.min_by(F.struct("frame", "heat_max"), "frame").alias("f"))
+    return first.select("f.frame", "f.heat_max").withColumn("idx", colour_index(F.col("heat_max")))
+
+
 def _kept(df: DataFrame) -> DataFrame:
-    """`df` computed once, in the shared checkpoint folder of the session (a temporary one where none is set)."""
-    import os
+    """`df` computed once, in the shared checkpoint folder of the session; on a local master without one, in a temporary folder."""
     import tempfile
 
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()

@@ -89,6 +89,16 @@ _ACTION = "case headline when 'density' then 'Hold inflow at the upstream barrie
 _AGENTS = "ag as (select frame, event_id id, x / 32 x, y / 32 y from det)"
 _PHASES = "ph(until_s, start_s, inflow, west_share, label) as (values (40e0, 0e0, 12e-1, 1e-1, 'calm'), (100e0, 40e0, 38e-1, 1e-1, 'procession arriving'), (200e0, 100e0, 52e-1, 8e-2, 'gate saturating'), (265e0, 200e0, 2e0, 7e-1, 'west corridor opened'), (330e0, 265e0, 0e0, 6e-1, 'clearing'), (1e9, 330e0, 0e0, 6e-1, 'recovered'))"
 
+# the blur has a width of nine cells (sigma 3); cells beyond an edge are the mirrored ones inside
+_FIELD = """w as (select o, exp(-o * o / 18e0) / (select sum(exp(-p * p / 18e0)) from (select unnest(range(-4, 5)) p)) k from (select unnest(range(-4, 5)) o)),
+cm as (select frame, floor(x / 32)::bigint cx, floor(y / 32)::bigint cy, sum(mass) m from det group by all),
+tx as (select cx, o, case when cx + o < 0 then -(cx + o) when cx + o > 29 then 58 - (cx + o) else cx + o end src, k from (select unnest(range(30)) cx), w),
+ty as (select cy, o, case when cy + o < 0 then -(cy + o) when cy + o > 16 then 32 - (cy + o) else cy + o end src, k from (select unnest(range(17)) cy), w),
+bx as (select frame, tx.cx, cm.cy, sum(m * k) m from cm join tx on tx.src = cm.cx group by all),
+by_ as (select frame, bx.cx, ty.cy, sum(m * k) m from bx join ty on ty.src = bx.cy group by all),
+ca as (select y // 32 cy, sum(32 / 1024e0 / (1 + (y + 5e-1) / 1088) ** 3) area from (select unnest(range(544)) y) group by all),
+field as (select frame, cx, cy, m / area density from by_ join ca using (cy))"""
+
 ORACLES = {
     "detections": _q("select event_id, frame, t, x, y, round(mass, 6) mass from det", _DET),
     "flow_samples": _q("select event_id, frame, x, y, round(w, 6) weight, round(dx, 6) dx, round(dy, 6) dy from samp", _DET, _FLOW),
@@ -113,6 +123,18 @@ ORACLES = {
     "blob_components": _q("""select frame, label, count(*) cells, sum(pixels) pixels, greatest(1e0, sum(pixels) / 2) people from (select c.frame, c.cx, c.cy, c.pixels, min(r.root) label from c join r on r.frame = c.frame and r.cx = c.cx and r.cy = c.cy group by all) group by all""",
         _DET, "c as materialized (select frame, floor(x / 48)::bigint cx, floor(y / 48)::bigint cy, count(*)::double pixels from det group by all)",
         "r as (select frame, cx, cy, cx * 1000000 + cy root from c union select c.frame, c.cx, c.cy, r.root from r join c on c.frame = r.frame and abs(c.cx - r.cx) <= 1 and abs(c.cy - r.cy) <= 1)", recursive=True),
+    "dark_mask": _q("""select distinct frame, cx + i cx, cy + j cy from open join (values (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j) on cx + i <= 19 and cy + j <= 11""",
+        _DET, """g0 as (select frame, floor(x / 48)::bigint cx, floor(y / 48)::bigint cy, count(*) n from det group by all),
+        g as (select f.frame, f.cx, f.cy, 120e0 - (f.cx * 37 + f.cy * 53 + f.frame * 29) % 60 - coalesce(n, 0) * 15 gray from (select * from (select distinct frame from det), (select unnest(range(20)) cx), (select unnest(range(12)) cy)) f left join g0 using (frame, cx, cy)),
+        dark as (select frame, cx, cy from (select *, quantile_cont(gray, 0.5) over (partition by frame) md from g) where gray < md - 12),
+        open as (select * from dark d where (cx = 0 or exists (from dark e where e.frame = d.frame and e.cx = d.cx - 1 and e.cy = d.cy)) and (cy = 0 or exists (from dark e where e.frame = d.frame and e.cx = d.cx and e.cy = d.cy - 1))
+          and (cx = 0 or cy = 0 or exists (from dark e where e.frame = d.frame and e.cx = d.cx - 1 and e.cy = d.cy - 1)))"""),
+    "density_field": _q("select frame, cx, cy, round(density, 6) density from field", _DET, _FIELD),
+    "heat_published": _q("""select frame, round(heat_max, 6) heat_max, least(255, greatest(0, floor(heat_max / 7 * 255)))::int idx from (select frame, max(density) heat_max from field group by frame)
+        qualify row_number() over (partition by floor(frame / 5) order by frame) = 1""", _DET, _FIELD),
+    "alert_counts": _ALERT("select severity, (select count(*) from cur where state = 'active' and cur.severity = s.severity) active from (values ('green'), ('amber'), ('red')) s(severity)"),
+    "announced_once": _q("select 'a' || seq alert_id, zone_id, ['green', 'amber', 'red'][sv + 1] severity, min(t) t from sev join num using (zone_id, ep) where kind <> 'resolved' group by all", *_A,
+        _FSM.replace(">= 45", ">= 4").replace(">= 25", ">= 5").replace(">= 10 ", ">= 2 ").replace("< 120", "< 12"), recursive=True),
     "flow_jitter_removed": _q("""select frame, count(*) n, count(*) filter (st) n_static, round(max(case when share >= 0.15 then coalesce(mx, 0e0) else 0e0 end), 6) jitter_x, round(max(case when share >= 0.15 then coalesce(my, 0e0) else 0e0 end), 6) jitter_y,
         round(avg(dx), 6) dx, round(avg(dy), 6) dy from calm join shake using (frame) group by frame""", _DET, _FLOW),
     "zone_flow": _q("select frame, zone_id, round(speed + 1e-9, 6) speed, round(variance, 6) variance, round(heading, 6) heading, round(coherence, 6) coherence from zf where kind = 'zone'", *_O),

@@ -115,6 +115,34 @@ def blob_components(spark, d):
     return heat.blobs(cells, 2.0)
 
 
+def dark_mask(spark, d):
+    """Opened mask of gray grids: cells of 48 pixels, darker the more events stand in them."""
+    cells = _points(spark, d).groupBy("frame", F.floor(F.col("x") / 48).alias("cx"), F.floor(F.col("y") / 48).alias("cy")).agg(F.count("*").alias("n"))
+    full = cells.select("frame").distinct().withColumn("cx", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("cy", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    gray = full.join(cells, ["frame", "cx", "cy"], "left").withColumn("gray", 120.0 - (F.col("cx") * 37 + F.col("cy") * 53 + F.col("frame") * 29) % 60 - F.coalesce("n", F.lit(0)) * 15)
+    return heat.mask(gray, 12.0)
+
+
+def density_field(spark, d):
+    return _r(heat.density_field(_points(spark, d), SCENE, 32), "density")
+
+
+def heat_published(spark, d):
+    return _r(heat.shown(heat.density_field(_points(spark, d), SCENE, 32), 5), "heat_max")
+
+
+def alert_counts(spark, d):
+    """Active alerts by severity, a row for each of the three."""
+    n = _alerts(spark, d).agg(*[F.count_if((F.col("state") == "active") & (F.col("severity") == s)).alias(s) for s in risk.LEVELS])
+    return n.select(F.inline(F.array(*[F.struct(F.lit(s).alias("severity"), F.col(s).alias("active")) for s in risk.LEVELS])))
+
+
+def announced_once(spark, d):
+    """Events to announce: an alert's first event and each later one of another severity, nothing twice."""
+    log = alerts.numbered(alerts.events(_assessed(spark, d), replace(TH, dwell_s=5.0, resolve_s=4.0, reassert_gap_s=12.0)))
+    return alerts.announced(log).select("alert_id", "zone_id", "severity", "t")
+
+
 def flow_jitter_removed(spark, d):
     g = _samples(spark, d).groupBy("frame").agg(F.count("*").alias("n"), F.count_if("static").alias("n_static"), F.max("jitter_x").alias("jitter_x"), F.max("jitter_y").alias("jitter_y"), F.avg("dx").alias("dx"), F.avg("dy").alias("dy"))
     return _r(g, "jitter_x", "jitter_y", "dx", "dy")
@@ -255,7 +283,7 @@ def truth_points(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     detections, flow_samples, sampled_latest_per_bucket, region_geometry, pixel_area_profile, unknown_neighbours, zone_membership, zone_density,
-    density_regrid, heat_cells, heat_lut, band_legend, detection_splat, blob_components, flow_jitter_removed, zone_flow, observations,
+    density_regrid, heat_cells, heat_lut, band_legend, detection_splat, blob_components, dark_mask, density_field, heat_published, alert_counts, announced_once, flow_jitter_removed, zone_flow, observations,
     density_slope, risk_signals, signals_long, zone_states, assess_scene, risk_changes, latest_per_zone, zones_worst_first, corridor_status, totals, count_error, fps_ewma,
     alert_events, alert_events_quick, alerts_current, alerts_live, alerts_recent, alert_feed, max_alert_seq, retention_purge, audit_tail, radius_neighbours, local_density,
     scenario_phase, spawn_schedule, truth_points,
