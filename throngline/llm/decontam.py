@@ -10,22 +10,25 @@ verified word by word, and the words inside verified windows are marked. Result,
 Defined cases: null and empty texts have no words and are never contaminated; repeated benchmark rows count
 once; the windows of an item with a null id mark words but name no item; an empty benchmark marks nothing.
 
-The set is broadcast only if the benchmark's text is at most ``broadcast_bytes``; beyond that the windows are
-joined by a shuffle on their hash (`scan_by_join`), with the same result.
+The set is broadcast only if the benchmark's text is at most ``broadcast_bytes``: it holds arrays of about 80 bytes a
+word of text and a dictionary of the distinct words (about 150 bytes each), at most some 300 MB for 8 MB of text. Beyond
+that the windows are joined by a shuffle on their hash (`scan_by_join`), with the same result.
+A column called ``out`` is replaced; all other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import ALNUM_WORD, alnum_words, chunks, sql_lower, table, utf8
+from .text import ALNUM_WORD, Tables, alnum_words, chunks, free, sql_lower, table, utf8
 
 WINDOW = 13
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, contaminated boolean"
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -33,38 +36,46 @@ _ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa
 
 
 class WindowSet:
-    """Verified lookup of benchmark windows; built once, then read by every task."""
+    """Verified lookup of benchmark windows as arrays; built once, then read by every task.
+
+    For each length: a gate of hash prefixes, the sorted hashes, the word ids of each window, and the items of each (two arrays).
+    """
 
     def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str | None]] = {}
-        for item, text in items:
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in alnum_words((text or "").encode()))
-            for i in range(max(1, len(ids) - window + 1)):
-                if ids:
-                    found.setdefault(ids[i : i + window], set()).add(item)
-        self.by_length: dict[int, tuple[np.ndarray, dict[int, list[tuple[tuple[int, ...], set[str | None]]]]]] = {}
-        for length in sorted({len(k) for k in found}):
-            own = {k: v for k, v in found.items() if len(k) == length}
-            buckets: dict[int, list] = {}
+        self.names = [item for item, _ in items]
+        runs: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for k, (_, text) in enumerate(items):
+            words = alnum_words((text or "").encode())
+            ids = np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words), dtype=np.uint32, count=len(words))
+            if len(ids):
+                runs.setdefault(min(window, len(ids)), []).append((ids, k))
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        for length in sorted(runs):
+            views = [np.lib.stride_tricks.sliding_window_view(ids, length) for ids, _ in runs[length]]
+            owner = np.repeat(np.array([k for _, k in runs[length]], dtype=np.int32), [len(v) for v in views])
+            windows, number = np.unique(np.concatenate(views), axis=0, return_inverse=True)
+            held = np.unique(np.stack([number.ravel().astype(np.int32), owner], axis=1), axis=0)
+            hashes = rolling(windows.astype(np.uint64).ravel(), length)[::length]
+            order = np.argsort(hashes, kind="stable")
             gate = np.zeros(1 << 20, dtype=bool)
-            for h, pair in zip(rolling(np.array([x for k in own for x in k], dtype=np.uint64), length)[::length].tolist(), own.items(), strict=True):
-                buckets.setdefault(h, []).append(pair)
-                gate[h >> 44] = True
-            self.by_length[length] = gate, buckets
+            gate[(hashes >> np.uint64(44)).astype(np.int64)] = True
+            first = np.searchsorted(held[:, 0], np.arange(len(windows) + 1))
+            self.by_length[length] = gate, hashes[order], order, windows, first, held[:, 1]
 
     def marks(self, ids: np.ndarray) -> list[tuple[int, int, set[str | None]]]:
         """(start, length, items) of every window that occurs in ids."""
         out = []
-        for length, (gate, buckets) in self.by_length.items():
+        for length, (gate, hashes, order, windows, first, owner) in self.by_length.items():
             if len(ids) < length:
                 continue
-            hashes = rolling(ids, length)
-            at = np.flatnonzero(gate[(hashes >> np.uint64(44)).astype(np.int64)])
-            for i, h in zip(at.tolist(), hashes[at].tolist(), strict=True):
-                for window, items in buckets.get(h, ()):
-                    if tuple(ids[i : i + length].tolist()) == window:
-                        out.append((i, length, items))
+            own = rolling(ids, length)
+            at = np.flatnonzero(gate[(own >> np.uint64(44)).astype(np.int64)])
+            low, high = np.searchsorted(hashes, own[at]), np.searchsorted(hashes, own[at], side="right")
+            for i, a, b in zip(*(x[low < high].tolist() for x in (at, low, high)), strict=True):
+                for k in order[a:b].tolist():
+                    if (windows[k] == ids[i : i + length]).all():
+                        out.append((i, length, {self.names[j] for j in owner[first[k] : first[k + 1]].tolist()}))
         return out
 
 
@@ -125,42 +136,46 @@ def _words(text: str) -> Column:
 
 
 def scan_by_join(docs: DataFrame, items: DataFrame, text: str = "text", out: str = "decon", window: int = WINDOW) -> DataFrame:
-    """The same by a shuffle join on the windows' text; `items` has columns item, words.
+    """The same by a shuffle join on the windows' hashes; `items` has columns item, words.
 
-    Window occurrences meet the benchmark's distinct windows (one row each) on the window's hash and length;
-    AQE splits a window that very many documents share. Only hits travel back to the documents.
+    Documents are numbered in a table of their own, so that a recomputed partition keeps its numbers. Only (number, place,
+    hash) of their windows are shuffled to the benchmark's distinct windows (one row each; AQE splits a window that very many
+    documents share), only hits travel back, and are verified there word by word.
     """
-    cut = lambda size: f"transform(sequence(1, greatest(size(ws) - {size} + 1, 1)), i -> named_struct('at', i - 1, 'w', array_join(slice(ws, i, {size}), ' ')))"
+    row, ws, found = (free(docs, n) for n in ("row", "ws", "found"))
+    cut = lambda words, size: f"transform(sequence(1, greatest(size(`{words}`) - {size} + 1, 1)), i -> array_join(slice(`{words}`, i, {size}), ' '))"
     own = items.withColumn("ws", _words("words")).where("size(ws) > 0").withColumn("n", F.least(F.size("ws"), F.lit(window)))
-    own = own.select("item", "n", F.explode(F.expr(cut("n"))).alias("x")).groupBy("n", F.col("x.w").alias("w")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    own = own.select("item", "n", F.explode(F.expr(cut("ws", "n"))).alias("w")).groupBy("n", "w").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("h", F.xxhash64("w"))
     lengths = [r[0] for r in own.select("n").distinct().collect()]  # at most `window` numbers
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_ws", _words(text))
-    pieces = None
-    for n in lengths:
-        p = keyed.where(F.size("_ws") >= n).select("_row", F.lit(n).alias("n"), F.explode(F.expr(cut(n).replace("ws", "_ws"))).alias("x")).select("_row", "n", "x.at", "x.w")
-        pieces = p if pieces is None else pieces.unionByName(p)
-    if pieces is None:
-        return docs.withColumn(out, F.from_json(F.lit("{}"), RESULT)).withColumn(out, F.struct(F.size(_words(text)).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.lit(False).alias("contaminated")))
-    hits = pieces.join(own, ["n", "w"]).groupBy("_row").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("at").cast("long").alias("start"), (F.col("at") + F.col("n")).cast("long").alias("end")))).alias("h"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    keyed = Tables(docs.sparkSession).keep("docs", docs.withColumn(row, F.monotonically_increasing_id()))
+    each = keyed.select(F.col(row).alias("row"), _words(text).alias("ws"))
+    hashed = [each.where(F.size("ws") >= n).select("row", F.lit(n).alias("n"), F.posexplode(F.expr(f"transform({cut('ws', n)}, w -> xxhash64(w))")).alias("at", "h")) for n in lengths]
+    pieces = functools.reduce(DataFrame.unionByName, hashed) if hashed else each.select("row", F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("h")).limit(0)
+    hits = pieces.join(own, ["n", "h"]).groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("at", "n", "w", "items"))).alias(found))
+    true = f"filter(coalesce(`{found}`, array()), x -> array_join(slice(`{ws}`, x.at + 1, x.n), ' ') = x.w)"
+    merged = f"""aggregate(`{found}`, cast(array() as array<struct<start:bigint,end:bigint>>), (acc, x) ->
+        case when size(acc) > 0 and x.at <= element_at(acc, -1).end
+             then concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start as start, greatest(element_at(acc, -1).end, bigint(x.at + x.n)) as end)))
+             else concat(acc, array(struct(bigint(x.at) as start, bigint(x.at + x.n) as end))) end)"""
+    res = keyed.join(hits, row, "left").withColumn(ws, _words(text)).withColumn(found, F.expr(true))
+    made = F.struct(
+        F.size(ws).cast("long").alias("n_words"), F.expr(f"aggregate({merged}, 0L, (a, x) -> a + x.end - x.start)").alias("n_hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda x: x["items"])))).alias("items"), F.expr(merged).alias("spans"),
     )
-    merged = """aggregate(coalesce(h, array()), cast(array() as array<struct<start:bigint,end:bigint>>), (acc, x) ->
-        case when size(acc) > 0 and x.start <= element_at(acc, -1).end
-             then concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start as start, greatest(element_at(acc, -1).end, x.end) as end)))
-             else concat(acc, array(x)) end)"""
-    res = keyed.join(hits, "_row", "left").withColumn("_spans", F.expr(merged)).withColumn("_hit", F.expr("aggregate(_spans, 0L, (a, x) -> a + x.end - x.start)"))
-    res = res.withColumn("_out", F.struct(F.size("_ws").cast("long").alias("n_words"), F.col("_hit").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("_spans").alias("spans"), F.expr("_hit > 0 and 20 * _hit >= size(_ws)").alias("contaminated")))
-    return res.select(*[F.col(f"`{c}`") for c in docs.columns if c != out], F.col("_out").alias(out))
+    res = res.withColumn(found, made)
+    judged = F.struct(f"{found}.*", F.expr(f"{found}.n_hit > 0 and 20 * {found}.n_hit >= {found}.n_words").alias("contaminated"))
+    return res.select(*[F.col(f"`{c}`") for c in docs.columns if c != out], judged.alias(out))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` without the contaminated ones."""
-    return scan(docs, benchmark, text, out="_decon").where(~F.col("_decon.contaminated")).drop("_decon")
+    """`docs` without the contaminated ones. Null and empty texts stay; repeated rows are judged alike."""
+    name = free(docs, "decon")
+    return scan(docs, benchmark, text, out=name).where(~F.col(f"{name}.contaminated")).drop(name)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """`docs` whose text has lost the words of every span (and the separators inside it); other text stays as it was."""
+    name = free(docs, "decon")
 
     @F.arrow_udf("string")
     def cut(column: pa.Array, spans: pa.Array) -> pa.Array:
@@ -175,7 +190,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> D
             out.append(t)
         return pa.array(out, pa.string())
 
-    return scan(docs, benchmark, text, out="_decon").withColumn(text, cut(F.col(text), F.col("_decon.spans"))).drop("_decon")
+    return scan(docs, benchmark, text, out=name).withColumn(text, cut(F.col(text), F.col(f"{name}.spans"))).drop(name)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
