@@ -25,7 +25,7 @@ from itertools import product
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import table
+from .text import free, table
 
 # Fixed by the contract: patterns of the four base kinds. Java forms of the same languages: possessive where no
 # other way to match exists, so that very long runs need no deep stack; runs are entered at their first character
@@ -74,7 +74,6 @@ def _matches(text: str, pattern: str) -> str:
     The pieces between matches and the matches add up to offsets. Blocks of 256 keep the cost of appending low.
     """
     p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    got = f"arrays_zip(slice(split({text}, '{p}', -1), 1, size(regexp_extract_all({text}, '{p}', 0))) as g, regexp_extract_all({text}, '{p}', 0) as m)"
     got = f"zip_with(regexp_extract_all({text}, '{p}', 0), split({text}, '{p}', -1), (m, g) -> named_struct('g', g, 'm', m))"
     inner = f"aggregate(b, named_struct('at', a.run.at, 'l', cast(array() as {_SPAN})), (r, x) -> named_struct('at', r.at + length(x.g) + length(x.m), 'l', concat(r.l, array(named_struct('s', r.at + length(x.g), 'e', r.at + length(x.g) + length(x.m), 'm', x.m, 'c', right(x.g, 24))))))"
     return f"""aggregate(transform(array(filter({got}, x -> x.m is not null)), z -> transform(sequence(0, size(z) div 256), k -> slice(z, k * 256 + 1, 256)))[0],
@@ -161,15 +160,24 @@ class Trees:
 
     @staticmethod
     def _platt(s, n, p) -> tuple[float, float]:
-        a, b = 1.0, 0.0
+        """Slope and offset of the calibration, by Newton steps that are halved until the loss falls."""
+        at = np.array([1.0, 0.0])
+
+        def loss(v: np.ndarray) -> float:
+            z = v[0] * s + v[1]
+            return float((n * np.logaddexp(0, z) - p * z).sum() + ((v - [1.0, 0.0]) ** 2).sum() / 2)
+
         for _ in range(50):
-            q = 1 / (1 + np.exp(-(a * s + b)))
+            q = 1 / (1 + np.exp(-np.clip(at[0] * s + at[1], -500, 500)))
             g, w = p - n * q, n * q * (1 - q)
             m = np.array([[(w * s * s).sum() + 1.0, (w * s).sum()], [(w * s).sum(), w.sum() + 1.0]])
-            step = np.linalg.solve(m, [(g * s).sum() + (1.0 - a), g.sum() - b])
-            a, b = a + step[0], b + step[1]
-            if abs(step).max() < 1e-9:
+            step = np.linalg.solve(m, [(g * s).sum() + (1.0 - at[0]), g.sum() - at[1]])
+            while np.abs(step).max() > 1e-9 and loss(at + step) > loss(at):
+                step /= 2
+            at = at + step
+            if np.abs(step).max() < 1e-9:
                 break
+        a, b = at
         return round(float(a), 4), round(float(b), 4)
 
     def sql(self, var: str = "x") -> str:
@@ -200,15 +208,16 @@ def find(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, out:
 
 
 def redact(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` whose text has [KIND] in place of each span; overlapping spans become one, named by the first."""
-    d = find(docs, text, threshold, "_pii").withColumn("_t", F.col(text))
-    merged = """aggregate(array_sort(transform(_pii.spans, x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind))), cast(array() as array<struct<s:int,e:int,kind:string>>), (a, x) ->
+    """`docs` whose text has [KIND] in place of each span; overlapping spans become one, named by the first. Null and empty texts stay."""
+    pii, t, cut = (free(docs, n) for n in ("pii", "t", "cut"))
+    d = find(docs, text, threshold, pii).withColumn(t, F.col(text))
+    merged = f"""aggregate(array_sort(transform({pii}.spans, x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind))), cast(array() as array<struct<s:int,e:int,kind:string>>), (a, x) ->
         case when size(a) > 0 and x.s < element_at(a, -1).e
              then concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e), 'kind', element_at(a, -1).kind)))
              else concat(a, array(x)) end)"""
-    d = d.withColumn("_cut", F.expr(f"case when size(_pii.spans) > 0 then {merged} end"))
-    parts = "concat(transform(_cut, (x, i) -> concat(substring(_t, coalesce(get(_cut, i - 1).e, 0) + 1, x.s - coalesce(get(_cut, i - 1).e, 0)), '[', upper(x.kind), ']')), array(substring(_t, element_at(_cut, -1).e + 1)))"
-    d = d.withColumn(text, F.expr(f"case when _cut is null then _t else array_join({parts}, '') end"))
+    d = d.withColumn(cut, F.expr(f"case when size({pii}.spans) > 0 then {merged} end"))
+    parts = f"concat(transform({cut}, (x, i) -> concat(substring({t}, coalesce(get({cut}, i - 1).e, 0) + 1, x.s - coalesce(get({cut}, i - 1).e, 0)), '[', upper(x.kind), ']')), array(substring({t}, element_at({cut}, -1).e + 1)))"
+    d = d.withColumn(text, F.expr(f"case when {cut} is null then {t} else array_join({parts}, '') end"))
     return d.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
