@@ -146,6 +146,41 @@ def test_quality(spark, texts, odd):
     assert {tuple(r["quality"][:6]) for r in got.where("doc_id = 4").collect()} == {quality_base("alpha beta gamma delta epsilon zeta " * 20_000)}
 
 
+def test_quality_verdict(spark, texts):
+    """The likelihood ratio and the verdict, computed anew word by word."""
+    import math
+    import struct
+
+    import regex
+    import xxhash
+
+    def mixed(v, seed=42):
+        return xxhash.xxh64_intdigest(v, seed=seed & (2**64 - 1))
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def buckets(t):
+        h = [signed(mixed(w.encode())) for w in regex.findall(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]", (t or "").lower())]
+        pair = [signed(mixed(struct.pack("<q", b), mixed(struct.pack("<q", a)))) for a, b in zip(h, h[1:])]
+        return [x % quality.BUCKETS for x in h], [x % quality.BUCKETS for x in pair]
+
+    good_ids = {r["doc_id"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 1").collect()}
+    own = {i: buckets(t) for i, t in texts.items()}
+    table = []
+    for k in (0, 1):
+        raw, good = Counter(), Counter()
+        for i, b in own.items():
+            raw.update(b[k])
+            good.update(b[k] if i in good_ids else [])
+        n, m = sum(good.values()) + quality.BUCKETS, sum(raw.values()) + quality.BUCKETS
+        table.append([round(10_000 * (math.log((good[x] + 1) / n) - math.log((raw[x] + 1) / m))) for x in range(quality.BUCKETS)])
+    for r in quality.op3(spark, SMALL).collect():
+        one, two = own[r["doc_id"]]
+        llr = (sum(table[0][x] for x in one) + sum(table[1][x] for x in two)) / (max(1, len(one) + len(two)) * 10_000)
+        assert r["llr"] == pytest.approx(llr, abs=1e-9)
+        assert r["kept"] == (not r["base_failed"] and r["llr"] >= quality.THRESHOLD)
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang")
     got = langid.op4(spark, SMALL).join(docs, "doc_id").where("held_out and lang is not null and lang_pred <> 'und'")
@@ -187,6 +222,15 @@ def test_parser_is_linear():
     assert took[1] < 24 * max(took[0], 0.02)
 
 
+def test_few_languages(spark):
+    """With one language every text with a letter has it, ambiguous or not; with none all are undetermined; ties go to the first name."""
+    docs = spark.createDataFrame([(1, "some text"), (2, None), (3, "")], "doc_id long, text string")
+    named = lambda *rows: {r["doc_id"]: tuple(r["language"]) for r in langid.identify(docs, langid.fit(spark.createDataFrame(list(rows), "lang string, text string"))).collect()}
+    assert named(("en", "words"), (None, "x"), ("de", None)) == {1: ("en", 1.0, False), 2: ("und", 0.0, True), 3: ("und", 0.0, True)}
+    assert {v[0] for v in named((None, "x")).values()} == {"und"}
+    assert named(("b", "same words"), ("a", "same words"))[1] == ("a", 0.5, True)
+
+
 def test_letters(spark):
     """Numbers that look like letters are none."""
     docs = spark.createDataFrame([(1, "½ ²"), (2, "① Ⅷ 12"), (3, "a½")], "doc_id long, text string")
@@ -408,6 +452,29 @@ def test_odd_inputs(spark, odd):
         df.collect()
 
 
+CLASHES = "_ws _row row ws found decon _host host templates _t _cut t cut pii _pii code _code _any _base _cand _out _h _words _lines _w node bucket comp key s _id _grade _text a b at n _quality".split()
+
+
+def test_clashing_names(spark):
+    """Columns with names that operators use inside come back as they were."""
+    docs = spark.createDataFrame([(1, "Some words, a mail a.b@c.org and <p>more</p>", "en", "http://h/1"), (2, None, None, None)], "doc_id long, text string, lang string, url string")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c}/"), F.col("doc_id").cast("string")) for c in CLASHES})
+    bench = spark.createDataFrame([(1, "some words a mail")], "item_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("toxic"))
+    made = [
+        decontam.scan(docs, bench, out="o"), decontam.scan(docs, bench, out="o", broadcast_bytes=0), decontam.remove_documents(docs, bench.limit(0)), decontam.remove_spans(docs, bench), pieces.coded(docs), quality.judge(docs, labels, out="o"),
+        langid.identify(docs, langid.fit(docs), out="o"), html.extract(docs, html="text", out="o"), html.extract(docs, html="text", out="o", broadcast_templates=-1), licenses.scan(docs, out="o"), toxicity.assess(docs, toxicity.fit(docs, labels, "toxic", binary=True), out="o"),
+        neardup.keep_one(docs), pii.find(docs, out="o"), pii.redact(docs), corpus_pipeline.quality_rules(spark, docs, SMALL).unionByName(docs),
+    ]
+    for df in made:
+        rows = df.collect()
+        assert len(rows) >= 2
+        for r in rows:
+            assert {c: r[c] for c in CLASHES} == {c: f"{c}/{r['doc_id']}" for c in CLASHES}
+    hit = {r["doc_id"]: r["o"]["n_hit"] for k in (0, 1) for r in made[k].collect()}
+    assert hit == {1: 4, 2: 0}
+
+
 def test_empty_tables(spark, odd):
     for df in operators(spark, odd.limit(0)):
         assert df.count() == 0

@@ -136,17 +136,15 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", sample_rows
     """Learn from the columns `lang` and `text`; rows with a null in one of them are left out."""
     own = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     summed = own.mapInArrow(_counted, _COUNTS).select("lang", F.explode(F.arrays_zip("cells", "n")).alias("x")).groupBy("lang", F.col("x.cells").alias("cell")).agg(F.sum("x.n").alias("n"))
-    per_lang = summed.groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("all")).limit(MOST_LANGS + 1).collect()  # at most _CELLS pairs each
-    if len(per_lang) > MOST_LANGS:
+    per_lang = summed.groupBy("lang").agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("n")).limit(MOST_LANGS + 1).toArrow()  # at most _CELLS + 1 pairs a language
+    if per_lang.num_rows > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
-    if not per_lang:
+    if not per_lang.num_rows:
         return None
-    langs = sorted(r["lang"] for r in per_lang)
+    langs = sorted(per_lang["lang"].to_pylist())
     counts = np.zeros((len(langs), _CELLS + 1))
-    for r in per_lang:
-        cells = np.array(r["all"], dtype=np.int64)
-        counts[langs.index(r["lang"]), cells[:, 0]] = cells[:, 1]
-    code = Code(langs, counts)
+    for name, cells, n in zip(*(per_lang[c] for c in ("lang", "cells", "n")), strict=True):
+        counts[langs.index(name.as_py()), cells.values.to_numpy()] = n.values.to_numpy()
     rare = max(1, -(-int(counts[:, _CELLS].sum()) // sample_rows))
     code = Code(langs, counts[:, :_CELLS])
     shared = own.sparkSession.sparkContext.broadcast(code)
