@@ -16,32 +16,36 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from throngline.llm import decontam, neardup, pieces, pii, quality
-from throngline.llm.text import shared_folder, table
+from throngline.llm.text import free, shared_folder, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood-ratio test. Null texts go, since they have no words."""
-    judged = quality.judge(docs, table(spark, sf_dir, "labels").where("quality = 1"), out="_quality")
-    return judged.where("_quality.kept").drop("_quality")
+    name = free(docs, "quality")
+    judged = quality.judge(docs, table(spark, sf_dir, "labels").where("quality = 1"), out=name)
+    return judged.where(f"{name}.kept").drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id."""
+    """One document of each near-duplicate group: the one with the smallest id.
+
+    Null and wordless texts belong to no group and stay; of repeated rows one stays; rows with a null id stay.
+    """
     return neardup.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a twentieth or more of their words inside benchmark windows."""
+    """Documents without a twentieth or more of their words inside benchmark windows. Null and empty texts stay; an empty benchmark removes nothing."""
     return decontam.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind in brackets."""
+    """All documents, with personal data replaced by its kind in brackets. A null text stays null, with a null n_chars."""
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, token ids, their number, and whether they decode to the text."""
+    """doc_id, lang, source, token ids, their number, and whether they decode to the text. A null text has null ids, no tokens and counts as decoded."""
     return pieces.coded(docs.select("doc_id", "lang", "source", "text")).drop("text")
 
 
