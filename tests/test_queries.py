@@ -74,3 +74,38 @@ def test_stream_equals_batch(spark, tmp_path):
     pick = lambda df: sorted(map(tuple, df.select("zone_id", "t", "kind", "severity", "first_seen", "escalations").collect()))
     want = pick(alerts.events(spark.createDataFrame(rows, schema), th))
     assert len(want) > 6 and pick(spark.read.parquet(f"{tmp_path}/out")) == want
+
+
+def test_stream_of_assessments_equals_batch(spark, tmp_path):
+    """Micro-batches of uneven length, one of them with late rows and one run twice, against one batch job."""
+    import math
+
+    from throngline.operators import risk
+    from throngline.streaming import assess as stream
+
+    rows = [(z, k, i, 1000.0 + i, 2 + math.sin(i / 9 + k), 10.0, 0.9 + 0.5 * math.cos(i / 7), float((k * 160 + i) % 360), 0.1) for k, z in enumerate(("ghat_west", "ghat_east", "exit_apron")) for i in range(150)]
+    ends, src, out = (20, 27, 28, 90, 150), f"{tmp_path}/in", f"{tmp_path}/out"
+    for a, b in zip((0, *ends), ends):
+        part = [r for r in rows if a <= r[2] < b] + ([(*rows[3][:4], 99.0, *rows[3][5:])] if a == 28 else [])
+        spark.createDataFrame(part, stream.OBSERVATION).coalesce(1).write.mode("append").parquet(src)
+    read = spark.readStream.schema(stream.OBSERVATION).option("maxFilesPerTrigger", 1).parquet(src)
+    q = stream.assessed(read, DEFAULT_SCENE, out).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    assert q.awaitTermination(300) and q.exception() is None
+    show = lambda df: sorted((r["zone_id"], r["frame"], r["risk"], r["headline"], r["trend"], round(r["rate"], 9), round(r["baseline"], 9), round(r["convergence"], 9)) for r in df.collect())
+    want = show(risk.assess(spark.createDataFrame(rows, stream.OBSERVATION), DEFAULT_SCENE))
+    parts = [spark.read.parquet(f"{out}/out/{n}") for n in range(5)]
+    assert sorted(x for p in parts for x in show(p)) == want
+    last = show(parts[4])
+    stream.step(spark.createDataFrame([r for r in rows if r[2] >= 90], stream.OBSERVATION), 4, DEFAULT_SCENE, out)
+    assert show(spark.read.parquet(f"{out}/out/4")) == last
+    for n, p in enumerate(parts[:2]):
+        stream.publish_latest(p.select("zone_id", "t", "risk"), n, f"{tmp_path}/latest")
+    assert {(r["zone_id"], r["t"]) for r in spark.read.parquet(f"{tmp_path}/latest/1").collect()} == {(z, 1026.0) for z in ("ghat_west", "ghat_east", "exit_apron")}
+
+
+def test_bad_records(spark):
+    from throngline.streaming import assess as stream
+
+    raw = spark.createDataFrame([('{"zone_id": "a", "t": 1.5, "density": 2}',), ("{oops",), ('{"zone_id": "a"}',), (None,)], "value string")
+    good, bad = stream.readable(raw)
+    assert [(r["zone_id"], r["t"], r["density"]) for r in good.collect()] == [("a", 1.5, 2.0)] and bad.count() == 3
