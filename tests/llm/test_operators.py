@@ -348,6 +348,40 @@ def test_licenses(spark, texts):
             licenses.Automaton("l", bad)
 
 
+def license_twin(text):
+    """Labels and longest acceptances by regular expressions over the joined words."""
+    words = alnum_words((text or "").encode())
+    line, found = b" ".join([*words, b""]).decode(), set()
+    starts = [m.start() for m in re.finditer(r"(?:(?<= )|^)(?=[^ ])", line)]
+    for label, template in licenses.TEMPLATES:
+        parts = re.findall(r"\[\[|\]\]|<<\d+>>|[^\s\[\]<>]+", template)
+        pattern = "".join("(?:" if p == "[[" else ")?" if p == "]]" else f"(?:[^ ]+ ){{0,{p[2:-2]}}}" if p.startswith("<<") else re.escape(p) + " " for p in parts)
+        found |= {(label, k, k + m[0].count(" ")) for k, at in enumerate(starts) if (m := re.compile(pattern).match(line, at))}
+    return found
+
+
+def test_licenses_against_expressions(texts):
+    """Templates with optional parts in and out, gaps filled, one word changed at random, inside other text."""
+    rng = random.Random(2)
+    s = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)
+    made = [t for t in texts.values() if t and re.search("licen|copyright|permission|cc by", t.lower())][:40]
+    for _, template in licenses.TEMPLATES:
+        for k in range(4):
+            t = re.sub(r"<<(\d+)>>", lambda m: " ".join(f"n{i}" for i in range(rng.randrange(int(m[1]) + 1))), template)
+            while "[[" in t:
+                t = re.sub(r"\[\[([^\[\]]*)\]\]", lambda m: m[1] if rng.random() < 0.5 else " ", t)
+            w = t.split()
+            if k == 3:
+                w[rng.randrange(len(w))] = "changed"
+            made.append(f"Some file. {' '.join(w).title()}; and {rng.choice(licenses.TEMPLATES)[1].split('[[')[0]} more")
+    hits = 0
+    for t in made:
+        got = {(f["label"], f["start"], f["end"]) for f in s.scan(t.encode())["found"]}
+        assert got == license_twin(t)
+        hits += bool(got)
+    assert hits > len(licenses.TEMPLATES) * 3
+
+
 def test_toxicity(spark):
     words = lambda i: " ".join(f"w{(i * 7 + j) % 400}" for j in range(60))
     rows = [(i, words(i) + (" vile brute" if i % 5 == 0 else "")) for i in range(300)]
