@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html, langid, licenses, neardup, passages, pieces, pii, quality, toxicity
+from . import centroids, decontam, divergence, html, langid, licenses, neardup, passages, pieces, pii, quality, toxicity, vectordup
 
 QUERIES = {
     "op1_decontamination": decontam.op1,
@@ -15,8 +15,14 @@ QUERIES = {
     "op8_toxicity": toxicity.op8,
     "op9_near_duplicates": neardup.op9,
     "op10_personal_data": pii.op10,
+    "op11_centroid_clusters": centroids.op11,
+    "op12_embedding_near_duplicates": vectordup.op12,
+    "op13_source_divergence": divergence.op13,
 }
 ORACLES = {
     "op1_decontamination": decontam.OP1_SQL,
     "op9_near_duplicates": neardup.OP9_SQL,
+    "op11_centroid_clusters": centroids.OP11_SQL,
+    "op12_embedding_near_duplicates": vectordup.OP12_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
 }
