@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import Scene, Thresholds
 from ..functions.geometry import ground
+from ..sources.stored import Steps
+from . import graph
 
 # Fixed values of the colour ramp: density, blue, green, red.
 ANCHORS = ((0.0, 150, 200, 120), (2.0, 120, 220, 235), (3.0, 60, 170, 250), (4.0, 55, 75, 240), (5.0, 90, 40, 170), (7.0, 120, 30, 120))
 TOP_DENSITY, COLOURS = 7.0, 256
+#: Cells of a tile's side when components are joined.
+TILE = 64
+#: Seconds of a block of publications.
+PUBLISH_BLOCK_S = 3600.0
 # Fixed values of the opacity: two slopes (density they start at, length, height) and the highest value.
 OPACITY, MOST_OPAQUE = ((0.0, 1.8, 165), (1.8, 2.5, 70)), 235
 
@@ -62,24 +69,63 @@ def splat(boxes: DataFrame, width: int, height: int) -> DataFrame:
     return b.groupBy("frame", "x", "y").agg(F.sum(weight(F.col("x"), F.col("ix")) * weight(F.col("y"), F.col("iy")) / (F.col("sx") * F.col("sy"))).alias("mass"))
 
 
+def _joined_in_tile(cells: pd.DataFrame) -> pd.DataFrame:
+    """Adds the first cell (rx, ry) of each cell's component inside its tile; union-find over at most TILE x TILE cells."""
+    places = list(zip(cells["cx"].tolist(), cells["cy"].tolist()))
+    root = {p: p for p in places}
+
+    def top(p: tuple[int, int]) -> tuple[int, int]:
+        while root[p] != p:
+            root[p] = p = root[root[p]]
+        return p
+
+    for x, y in places:
+        for other in ((x - 1, y - 1), (x - 1, y), (x - 1, y + 1), (x, y - 1)):
+            if other in root:
+                a, b = top((x, y)), top(other)
+                root[max(a, b)] = min(a, b)
+    tops = [top(p) for p in places]
+    return cells.assign(rx=[t[0] for t in tops], ry=[t[1] for t in tops])
+
+
+def labelled(cells: DataFrame) -> tuple[DataFrame, int]:
+    """(frame, cx, cy, label_x, label_y, rounds): the first cell, by x and y, of each cell's 8-connected component.
+
+    Cells are joined inside tiles of TILE x TILE first. Then components that touch across the tiles' borders are
+    links of a graph, contracted in rounds that grow with the logarithm of the number of tiles in a row. Repeated cells count once.
+    """
+    steps = Steps(cells.sparkSession)
+    at = lambda c: F.floor(F.col(c) / TILE)
+    own = cells.select("frame", F.col("cx").cast("long").alias("cx"), F.col("cy").cast("long").alias("cy")).where("frame is not null and cx is not null and cy is not null").distinct()
+    own = own.withColumn("tx", at("cx")).withColumn("ty", at("cy"))
+    kind = own.schema["frame"].dataType.simpleString()
+    local = own.groupBy("frame", "tx", "ty").applyInPandas(_joined_in_tile, f"frame {kind}, cx long, cy long, tx long, ty long, rx long, ry long")
+    local = steps.keep("local", local.withColumn("node", F.struct("frame", "rx", "ry")))
+    edge = F.pmod("cx", F.lit(TILE)).isin(0, TILE - 1) | F.pmod("cy", F.lit(TILE)).isin(0, TILE - 1)
+    rim = local.where(edge).select("frame", "cx", "cy", "tx", "ty", "node")
+    ahead = F.inline(F.array(*[F.struct(F.lit(i).alias("ox"), F.lit(j).alias("oy")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    sent = rim.select("frame", "cx", "cy", "tx", "ty", F.col("node").alias("a"), ahead).select("frame", (F.col("cx") + F.col("ox")).alias("cx"), (F.col("cy") + F.col("oy")).alias("cy"), F.col("tx").alias("sx"), F.col("ty").alias("sy"), "a")
+    links = sent.join(rim, ["frame", "cx", "cy"]).where("sx <> tx or sy <> ty").select("a", F.col("node").alias("b"))
+    roots, rounds = graph.components(links, steps)
+    out = local.join(roots, "node", "left").withColumn("_r", F.coalesce("root", "node"))
+    return out.select("frame", "cx", "cy", F.col("_r.rx").alias("label_x"), F.col("_r.ry").alias("label_y")), rounds
+
+
 def blobs(cells: DataFrame, cell_pixels: float = 78.0) -> DataFrame:
-    """8-connected components of the occupied cells (frame, cx, cy, pixels) of every frame, by spreading the smallest label.
+    """The 8-connected components of the occupied cells (frame, cx, cy, pixels) of every frame; each counts for max(1, pixels / cell_pixels) people."""
+    own = labelled(cells)[0].join(cells.groupBy("frame", "cx", "cy").agg(F.sum("pixels").alias("pixels")), ["frame", "cx", "cy"])
+    return own.groupBy("frame", "label_x", "label_y").agg(F.count("*").alias("cells"), F.sum("pixels").alias("pixels")).withColumn("people", F.greatest(F.lit(1.0), F.col("pixels") / cell_pixels))
+
 
-    Every round is a nine-cell explode, a keyed minimum and a join with it; it ends when no label changes. Each component
-    counts for max(1, pixels / cell_pixels) people.
+def blob_density(gray: DataFrame, offset: float = 40.0, cell_pixels: float = 78.0, scale: float = 1.0) -> DataFrame:
+    """Gray grids to people mass: the dark mask's components, each with max(1, cells / cell_pixels) people spread evenly over its cells.
+
+    frame, cx, cy, label_x, label_y, mass; cells outside the mask hold none and have no row.
     """
-    label = F.col("cx") * 1_000_000 + F.col("cy")
-    d = cells.select("frame", "cx", "cy", "pixels", label.alias("label"))
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    while True:
-        sent = d.select("frame", "cx", "cy", "label", around.alias("ox")).withColumn("oy", around).select("frame", (F.col("cx") + F.col("ox")).alias("cx"), (F.col("cy") + F.col("oy")).alias("cy"), "label")
-        least = sent.groupBy("frame", "cx", "cy").agg(F.min("label").alias("low"))
-        new = d.join(least, ["frame", "cx", "cy"]).withColumn("moved", F.col("low") < F.col("label")).select("frame", "cx", "cy", "pixels", "moved", F.col("low").alias("label"))
-        new = _kept(new)
-        d = new.drop("moved")
-        if new.where("moved").limit(1).count() == 0:
-            break
-    return d.groupBy("frame", "label").agg(F.count("*").alias("cells"), F.sum("pixels").alias("pixels")).withColumn("people", F.greatest(F.lit(1.0), F.col("pixels") / cell_pixels))
+    own, _ = labelled(mask(gray, offset))
+    size = own.groupBy("frame", "label_x", "label_y").agg(F.count("*").alias("cells"))
+    people = F.greatest(F.lit(1.0), F.col("cells") / cell_pixels)
+    return own.join(size, ["frame", "label_x", "label_y"]).select("frame", "cx", "cy", "label_x", "label_y", (scale * people / F.col("cells")).alias("mass"))
 
 
 def mask(gray: DataFrame, offset: float = 40.0) -> DataFrame:
@@ -133,21 +179,75 @@ def density_field(points: DataFrame, scene: Scene, cell: int, smooth_m: float =
     return smooth.join(areas, ["cx", "cy"]).select("frame", "cx", "cy", (F.col("mass") / F.greatest("area_m2", F.lit(1e-9))).alias("density"))
 
 
-def shown(field: DataFrame, every_s: int) -> DataFrame:
-    """The highest density and its colour of each published field: the first frame of every `every_s` seconds."""
-    d = field.groupBy("frame").agg(F.max("density").alias("heat_max"))
-    first = d.groupBy(F.floor(F.col("frame") / every_s).alias("_s")).agg(F.min_by(F.struct("frame", "heat_max"), "frame").alias("f"))
-    return first.select("f.frame", "f.heat_max").withColumn("idx", colour_index(F.col("heat_max")))
+def peaks(field: DataFrame) -> DataFrame:
+    """The highest density of each field: frame, heat_max."""
+    return field.groupBy("frame").agg(F.max("density").alias("heat_max"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """`df` computed once, in the shared checkpoint folder of the session; on a local master without one, in a temporary folder."""
-    import tempfile
+def throttled(times: DataFrame, every_s: float, block_s: float | None = None) -> DataFrame:
+    """The rows (t, ...) that are published: the first one, then always the next one at least `every_s` after the last published.
 
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    Which rows follow depends on where the chain stands, so inside a block of time every row that may be the block's
+    first published one (those within `every_s` of its first row and the one after) begins a chain of its own, and all chains of a block are walked at
+    once; together they have about as many steps as the block has rows. A block then is a map from its entry to the entry of the next block, the maps of all blocks are followed in
+    order once (a row or a few each), and each block keeps the chain of its entry. Null times are left out; rows of equal time
+    count as one, of which one is kept.
+    """
+    size = max(block_s or PUBLISH_BLOCK_S, 2 * every_s)
+    steps = Steps(times.sparkSession)
+    rows = steps.keep("times", times.where("t is not null").dropDuplicates(["t"]).withColumn("block", F.floor(F.col("t") / size)))
+
+    def chains(block: pd.DataFrame) -> pd.DataFrame:
+        """start, t of every chain of a block, a row each, the last of them the first time behind the block's reach (null t: the chain's end)."""
+        t = np.sort(block["t"].to_numpy())
+        follow = np.searchsorted(t, t + every_s)
+        while len(t) and (wrong := (follow < len(t)) & (t[np.minimum(follow, len(t) - 1)] - t < every_s)).any():
+            follow = follow + wrong  # t + every_s was rounded down
+        starts = np.arange(min(len(t), int(np.searchsorted(t, t[0] + every_s)) + 1) if len(t) else 0)
+        out_start, out_at, at = [], [], starts
+        own = starts
+        while len(at):
+            out_start.append(own)
+            out_at.append(at)
+            nxt = follow[at]
+            own, at = own[nxt < len(t)], nxt[nxt < len(t)]
+        a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (out_start, out_at))
+        return pd.DataFrame({"block": block["block"].iloc[0] if len(block) else 0, "start": t[a], "t": t[b]})
+
+    walked = steps.keep("chains", rows.groupBy("block").applyInPandas(chains, "block long, start double, t double"))
+    ends = steps.keep("ends", walked.groupBy("block", "start").agg(F.max("t").alias("end")))
+
+    def followed(batches):
+        """(block, start) of the chain that is published in each block; batches are sorted by block and start."""
+        last, held, block = None, [], None
+
+        def enter(last, held):
+            for start, end in held:
+                if last is None or start - last >= every_s:
+                    return start, end
+            return None
+
+        for batch in batches:
+            out = []
+            for b, start, end in zip(batch["block"].tolist(), batch["start"].tolist(), batch["end"].tolist()):
+                if b != block and held:
+                    found = enter(last, held)
+                    if found:
+                        out.append((block, found[0]))
+                        last = found[1]
+                    held = []
+                block = b
+                held.append((start, end))
+            yield pd.DataFrame(out, columns=["block", "start"])
+        found = enter(last, held)
+        yield pd.DataFrame([(block, found[0])] if found else [], columns=["block", "start"])
+
+    used = steps.keep("used", ends.repartition(1).sortWithinPartitions("block", "start").mapInPandas(followed, "block long, start double"))
+    kept = walked.join(used, ["block", "start"]).select("t")
+    return rows.drop("block").join(kept, "t", "left_semi")
+
+
+def shown(field: DataFrame, every_s: float, start: float = 0.0) -> DataFrame:
+    """frame, heat_max and colour index of the published fields: the first one, then each at least `every_s` after the last published (see `throttled`)."""
+    d = peaks(field).withColumn("t", F.lit(start) + F.col("frame"))
+    return throttled(d, every_s).drop("t").withColumn("idx", colour_index(F.col("heat_max")))

@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..config import Region, Scene
 from ..functions import geometry as G
+from ..sources.bridge import START
+from ..sources.stored import Steps
+from . import prefix
 
 #: Up to so many regions their tests are folded into the plan; more are met through grid cells.
 FOLDED_REGIONS, CELL_PX = 64, 64
+#: Frames of a block when they are numbered.
+FRAME_BLOCK = 4096
 _REGION = "id string, name string, kind string, ordinal int, polygon array<struct<x:double,y:double>>, neighbors array<string>"
 
 
@@ -52,16 +57,17 @@ def membership(points: DataFrame, wanted: tuple[Region, ...]) -> DataFrame:
     return met.where(F.expr(crossing)).drop("cx", "cy", "polygon")
 
 
-def grid(spark: SparkSession, wanted: tuple[Region, ...], frames: tuple[int, int]) -> DataFrame:
-    """Every region at every frame of a range (first, last), so that empty ones count as zero."""
+def grid(frames: DataFrame, wanted: tuple[Region, ...]) -> DataFrame:
+    """Every region at every frame of the table `frames`, so that empty ones count as zero."""
     ids = F.array(*[F.struct(F.lit(r.id).alias("zone_id"), F.lit(i).alias("ordinal")) for i, r in enumerate(wanted)])
-    return spark.range(frames[0], frames[1] + 1).select(F.col("id").alias("frame"), F.inline(ids))
+    return frames.select("*", F.inline(ids))
 
 
-def frame_range(points: DataFrame) -> tuple[int, int]:
-    """First and last frame of the points; (0, -1) without any."""
-    low, high = points.agg(F.min("frame"), F.max("frame")).first()
-    return (0, -1) if low is None else (low, high)
+def frames(points: DataFrame) -> DataFrame:
+    """The frames that were sampled, with their number n from 0 and their time t."""
+    seen = points.select("frame").where("frame is not null").distinct()
+    seen = Steps(points.sparkSession).keep("frames", seen)
+    return prefix.numbered(seen, F.floor(F.col("frame") / FRAME_BLOCK), ("frame",), "n").withColumn("t", F.lit(START) + F.col("frame"))
 
 
 def with_density(full: DataFrame, scene: Scene, wanted: tuple[Region, ...]) -> DataFrame:
@@ -71,7 +77,7 @@ def with_density(full: DataFrame, scene: Scene, wanted: tuple[Region, ...]) -> D
     return full.withColumn("samples", F.coalesce("samples", F.lit(0)).cast("long")).withColumn("count", F.coalesce("count", F.lit(0.0))).withColumn("density", F.col("count") / area)
 
 
-def zone_mass(points: DataFrame, scene: Scene, wanted: tuple[Region, ...], frames: tuple[int, int]) -> DataFrame:
-    """count and density of every region at every frame, zero where nobody stands."""
+def zone_mass(points: DataFrame, scene: Scene, wanted: tuple[Region, ...], frames: DataFrame) -> DataFrame:
+    """count and density of every region at every sampled frame, zero where nobody stands."""
     mass = membership(points, wanted).groupBy("frame", "zone_id").agg(F.count("*").alias("samples"), F.sum("mass").alias("count"))
-    return with_density(grid(points.sparkSession, wanted, frames).join(mass, ["frame", "zone_id"], "left"), scene, wanted)
+    return with_density(grid(frames, wanted).join(mass, ["frame", "zone_id"], "left"), scene, wanted)

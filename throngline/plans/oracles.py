@@ -18,7 +18,7 @@ _ZONES = """pieces(zone_id, name, ordinal, kind, x0, y0, x1, y1, cx, cy) as (val
   ('exit_apron', 'Exit apron', 4, 'zone', 0e0, 320e0, 960e0, 432e0, 480e0, 432e0), ('exit_apron', 'Exit apron', 4, 'zone', 480e0, 432e0, 960e0, 544e0, 480e0, 432e0),
   ('main_gate', 'Main gate', 5, 'corridor', 624e0, 272e0, 720e0, 352e0, 672e0, 312e0), ('west_corridor', 'West corridor', 6, 'corridor', 120e0, 272e0, 200e0, 352e0, 160e0, 312e0)),
 areas as (select zone_id, name, ordinal, kind, cx, cy, sum((x1 - x0) / 32 * (1 / (1 + y0 / 1088) + 1 / (1 + y1 / 1088)) / 2 * (y1 / (1 + y1 / 1088) - y0 / (1 + y0 / 1088)) / 32) area from pieces group by all)"""
-_OBS = """frames as (select unnest(range((select min(frame) from det), (select max(frame) + 1 from det))) frame),
+_OBS = """frames as (select distinct frame from det),
 memb as (select s.*, zone_id, (x + dx) / 32 / (1 + (y + dy) / 1088) - x / 32 / (1 + y / 1088) vx, (y + dy) / 32 / (1 + (y + dy) / 1088) - y / 32 / (1 + y / 1088) vy
   from calm s join pieces z on s.x > x0 and s.x < x1 and s.y > y0 and s.y < y1),
 zm as (select f.frame, a.zone_id, kind, coalesce(k, 0) samples, coalesce(m, 0e0) cnt, coalesce(m, 0e0) / area density
@@ -58,7 +58,7 @@ txt as (select ass.*, printf('%.2f p/m2 (%s)', density, replace(band, '_', ' '))
   case when l_flow_breakdown = 0 then printf('%.2f m/s, flowing', speed) else printf('%.2f m/s, down %.0f%% from %.2f at %.1f p/m2', speed, drp * 100, baseline, density) end t2,
   case when l_convergence = 0 then 'no opposing flow' else printf('opposing flow with %s (%.2f)', n.name, convergence) end t3,
   printf('index %.2f (density %.1f x variance %.2f)', pressure, density, variance) t4 from ass left join areas n on n.zone_id = against)"""
-_FSM = """rk as materialized (select zone_id z, frame f, t, lvl, headline h, case headline when 'density' then 'High density - ' || t0 when 'flow_breakdown' then 'Movement breaking down - ' || t2 when 'convergence' then 'Opposing flows meeting - ' || t3 when 'pressure' then 'Turbulent movement - ' || t4
+_FSM = """rk as materialized (select zone_id z, row_number() over (partition by zone_id order by frame) f, t, lvl, headline h, case headline when 'density' then 'High density - ' || t0 when 'flow_breakdown' then 'Movement breaking down - ' || t2 when 'convergence' then 'Opposing flows meeting - ' || t3 when 'pressure' then 'Turbulent movement - ' || t4
     when 'density_trend' then 'Density rising - ' || case when round(ttc, 1) >= 60 then round_even(round(ttc, 1) / 60, 0)::int || ' min' else round_even(round(ttc, 1), 0)::int || ' s' end || ' to critical' end msg from txt),
 fsm as (select z, min(f) - 1 f, 0e0 t, null::double p, null::int a, null::double c, null::double l, null::varchar kind, null::double fs, 0 esc, 0 ep, ''::varchar h, ''::varchar msg from rk group by z
   union all
@@ -72,12 +72,29 @@ fsm as (select z, min(f) - 1 f, 0e0 t, null::double p, null::int a, null::double
     from fsm s join rk r on r.z = s.z and r.f = s.f + 1)),
 ev as (select z zone_id, t, kind, fs first_seen, esc, ep, h headline, msg, max(case when kind <> 'resolved' then t end) over (partition by z order by f) cht, a, f from fsm where kind is not null),
 sev as (select *, case when kind = 'resolved' then lag(a) over (partition by zone_id order by f) else a end sv from ev),
-num as (select zone_id, ep, row_number() over (order by t, zone_id) seq from sev where kind = 'fired'),
+num as (select zone_id, ep, row_number() over (order by t, ordinal) seq from sev join (select distinct zone_id, ordinal from areas) using (zone_id) where kind = 'fired'),
 cur as (select 'a' || seq alert_id, seq, s.zone_id, min(first_seen) first_seen, ['green', 'amber', 'red'][arg_max(sv, t) filter (kind <> 'resolved') + 1] severity, arg_max(headline, t) filter (kind <> 'resolved') metric, arg_max(msg, t) filter (kind <> 'resolved') message,
   max(t) filter (kind <> 'resolved') ts, max(esc) escalations, max(t) filter (kind = 'resolved') resolved_at, case when max(t) filter (kind = 'resolved') is null then 'active' else 'resolved' end state
   from sev s join num using (zone_id, ep) group by seq, s.zone_id)"""
 
 
+# windows and smoothing inside epochs; an epoch's first frame has no movement
+_EPOCH = """chg as (select 1000e0 + date_diff('day', date '2024-01-01', cast(ts as date)) * 24 + hour(ts) t, case when day(ts) = 1 then 'reset' else 'scene' end cause from events where event_type = 'error'
+  qualify row_number() over (partition by cast(ts as date) order by value desc, event_id desc) = 1),
+ep as (select frame, (select count(*) from chg c where c.t <= 1000e0 + frame) epoch, (select arg_max(cause, t) from chg c where c.t <= 1000e0 + frame) cause from frames),
+eo as (select *, row_number() over (partition by epoch order by frame) = 1 opens from ep),
+e0 as (select zone_id, frame, epoch, cause, opens, case when opens then 0e0 else quantile_cont(v, 0.5) over w end speed from (select *, case when opens then 0e0 else speed end v from zf join eo using (frame) where kind = 'zone')
+  window w as (partition by zone_id, epoch order by frame rows between 4 preceding and current row)),
+eb as (select e0.*, 1000e0 + e0.frame t, density from e0 join zm using (frame, zone_id)),
+em as (select *, avg(density) over (partition by zone_id, epoch order by t rows between 2 preceding and current row) d3, quantile_cont(speed, 0.75) over r baseline, count(*) over r nw, t - min(t) over r span
+  from eb window r as (partition by zone_id, epoch order by t range between 60 preceding and current row)),
+el as (select a.zone_id, a.frame, regr_slope(b.d3, b.t) * 60 rate from em a join (select *, row_number() over (partition by zone_id, epoch order by t) i from em) b
+  on a.zone_id = b.zone_id and a.epoch = b.epoch and b.t between a.t - 60 and a.t and b.i >= 2 + (select min(c.i) from (select zone_id, epoch, t, row_number() over (partition by zone_id, epoch order by t) i from em) c where c.zone_id = a.zone_id and c.epoch = a.epoch and c.t >= a.t - 60) group by all),
+er as (select em.*, case when nw < 4 or span < 5 then 0e0 else coalesce(rate, 0e0) end rate from em left join el using (zone_id, frame)),
+ef as (select *, case when density >= 5 then 0e0 when rate >= 12e-2 then least((5 - density) / (rate / 60), 36e2) end ttc,
+  case when density >= 5 then 'critical' when density >= 4 then 'very_crowded' when density >= 3 then 'crowded' when density >= 2 then 'busy' else 'free' end band from er)"""
+
+
 def _q(select: str, *parts: str, recursive: bool = False) -> str:
     return f"with {'recursive ' if recursive else ''}{', '.join(parts)} {select}" if parts else select
 
@@ -99,6 +116,19 @@ by_ as (select frame, bx.cx, ty.cy, sum(m * k) m from bx join ty on ty.src = bx.
 ca as (select y // 32 cy, sum(32 / 1024e0 / (1 + (y + 5e-1) / 1088) ** 3) area from (select unnest(range(544)) y) group by all),
 field as (select frame, cx, cy, m / area density from by_ join ca using (cy))"""
 
+_LUT = """with st(i, d, b, g, r) as (values (1, 0e0, 150, 200, 120), (2, 2e0, 120, 220, 235), (3, 3e0, 60, 170, 250), (4, 4e0, 55, 75, 240), (5, 5e0, 90, 40, 170), (6, 7e0, 120, 30, 120)),
+        x as (select idx::int idx, idx * 7e0 / 255 d from (select unnest(range(256)) idx))
+        select idx, round(x.d, 6) density, floor(a.b + (z.b - a.b) * (x.d - a.d) / (z.d - a.d) + 1e-9)::int b, floor(a.g + (z.g - a.g) * (x.d - a.d) / (z.d - a.d) + 1e-9)::int g, floor(a.r + (z.r - a.r) * (x.d - a.d) / (z.d - a.d) + 1e-9)::int r,
+        case when idx = 0 then 0 else floor(least(235, least(1, x.d / 18e-1) * 165 + greatest(0, least(1, (x.d - 18e-1) / 25e-1)) * 70) + 1e-9)::int end a
+        from x join st a on true join st z on z.i = a.i + 1 and x.d >= a.d and (x.d < z.d or (z.i = 6 and x.d >= z.d - 1e-9))"""
+# the opened mask of the gray grids
+_MASK = """g0 as (select frame, floor(x / 48)::bigint cx, floor(y / 48)::bigint cy, count(*) n from det group by all),
+        g as (select f.frame, f.cx, f.cy, 120e0 - (f.cx * 37 + f.cy * 53 + f.frame * 29) % 60 - coalesce(n, 0) * 15 gray from (select * from (select distinct frame from det), (select unnest(range(20)) cx), (select unnest(range(12)) cy)) f left join g0 using (frame, cx, cy)),
+        dark as (select frame, cx, cy from (select *, quantile_cont(gray, 0.5) over (partition by frame) md from g) where gray < md - 12),
+        open as (select * from dark d where (cx = 0 or exists (from dark e where e.frame = d.frame and e.cx = d.cx - 1 and e.cy = d.cy)) and (cy = 0 or exists (from dark e where e.frame = d.frame and e.cx = d.cx and e.cy = d.cy - 1))
+          and (cx = 0 or cy = 0 or exists (from dark e where e.frame = d.frame and e.cx = d.cx - 1 and e.cy = d.cy - 1))),
+        masked as materialized (select distinct frame, cx + i cx, cy + j cy from open join (values (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j) on cx + i <= 19 and cy + j <= 11)"""
+
 ORACLES = {
     "detections": _q("select event_id, frame, t, x, y, round(mass, 6) mass from det", _DET),
     "flow_samples": _q("select event_id, frame, x, y, round(w, 6) weight, round(dx, 6) dx, round(dy, 6) dy from samp", _DET, _FLOW),
@@ -109,29 +139,23 @@ ORACLES = {
     "zone_membership": _q("select zone_id, count(*) n, min(event_id) first_event, max(event_id) last_event from det join pieces on x > x0 and x < x1 and y > y0 and y < y1 group by all", _DET, _ZONES),
     "zone_density": _q("select frame, zone_id, samples, round(cnt, 6) count, round(density, 6) density from zm where kind = 'zone'", *_O),
     "density_regrid": _q("select frame, floor(x / 32)::bigint cx, floor(y / 32)::bigint cy, round(sum(mass), 6) mass from det group by all", _DET),
-    "heat_cells": _q("select frame, floor(x / 32)::bigint cx, floor(y / 32)::bigint cy, round(sum(mass), 6) density from det group by all", _DET),
+    "heat_cells": _q(f"select frame, cx, cy, round(density, 6) density, idx, b, g, r, a from (select frame, cx, cy, density, least(255, greatest(0, floor(density / 7 * 255)))::int idx from hc) join (select idx, b, g, r, a from ({_LUT})) using (idx)",
+        _DET, "hc as (select frame, floor(x / 32)::bigint cx, floor(y / 32)::bigint cy, sum(mass) density from det group by all)"),
     "band_legend": "select * from (values (0, 'free', 0e0, 2e0), (1, 'busy', 2e0, 3e0), (2, 'crowded', 3e0, 4e0), (3, 'very_crowded', 4e0, 5e0), (4, 'critical', 5e0, null)) v(ord, band, low, high)",
-    "heat_lut": """with st(i, d, b, g, r) as (values (1, 0e0, 150, 200, 120), (2, 2e0, 120, 220, 235), (3, 3e0, 60, 170, 250), (4, 4e0, 55, 75, 240), (5, 5e0, 90, 40, 170), (6, 7e0, 120, 30, 120)),
-        x as (select idx::int idx, idx * 7e0 / 255 d from (select unnest(range(256)) idx))
-        select idx, round(x.d, 6) density, floor(a.b + (z.b - a.b) * (x.d - a.d) / (z.d - a.d) + 1e-9)::int b, floor(a.g + (z.g - a.g) * (x.d - a.d) / (z.d - a.d) + 1e-9)::int g, floor(a.r + (z.r - a.r) * (x.d - a.d) / (z.d - a.d) + 1e-9)::int r,
-        case when idx = 0 then 0 else floor(least(235, least(1, x.d / 18e-1) * 165 + greatest(0, least(1, (x.d - 18e-1) / 25e-1)) * 70) + 1e-9)::int end a
-        from x join st a on true join st z on z.i = a.i + 1 and x.d >= a.d and (x.d < z.d or (z.i = 6 and x.d >= z.d - 1e-9))""",
+    "heat_lut": _LUT,
     "detection_splat": _q("""select frame, round(sum(m), 6) mass, count(*) pixels, round(sum(m * x), 6) moment_x from (select frame, x, y, sum(g / tot) m from (
         select *, sum(g) over (partition by event_id) tot from (select *, exp(-((x - ix) ** 2 + (y - iy) ** 2) / (2 * s * s)) g from (
         select *, unnest(range(greatest(iy - r, 0), least(iy + r, 543) + 1)) y from (select *, unnest(range(greatest(ix - r, 0), least(ix + r, 959) + 1)) x from (
         select event_id, frame, floor(x)::bigint ix, floor(y)::bigint iy, greatest(2e0, least(8 + event_id % 24, 8 + event_id % 17) / 4e0) s, floor(3 * greatest(2e0, least(8 + event_id % 24, 8 + event_id % 17) / 4e0))::bigint r from det))))) group by all) group by frame""", _DET),
-    "blob_components": _q("""select frame, label, count(*) cells, sum(pixels) pixels, greatest(1e0, sum(pixels) / 2) people from (select c.frame, c.cx, c.cy, c.pixels, min(r.root) label from c join r on r.frame = c.frame and r.cx = c.cx and r.cy = c.cy group by all) group by all""",
+    "blob_components": _q("""select frame, label.x label_x, label.y label_y, count(*) cells, sum(pixels) pixels, greatest(1e0, sum(pixels) / 2) people from (select c.frame, c.cx, c.cy, c.pixels, min(r.root) label from c join r on r.frame = c.frame and r.cx = c.cx and r.cy = c.cy group by all) group by all""",
         _DET, "c as materialized (select frame, floor(x / 48)::bigint cx, floor(y / 48)::bigint cy, count(*)::double pixels from det group by all)",
-        "r as (select frame, cx, cy, cx * 1000000 + cy root from c union select c.frame, c.cx, c.cy, r.root from r join c on c.frame = r.frame and abs(c.cx - r.cx) <= 1 and abs(c.cy - r.cy) <= 1)", recursive=True),
-    "dark_mask": _q("""select distinct frame, cx + i cx, cy + j cy from open join (values (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j) on cx + i <= 19 and cy + j <= 11""",
-        _DET, """g0 as (select frame, floor(x / 48)::bigint cx, floor(y / 48)::bigint cy, count(*) n from det group by all),
-        g as (select f.frame, f.cx, f.cy, 120e0 - (f.cx * 37 + f.cy * 53 + f.frame * 29) % 60 - coalesce(n, 0) * 15 gray from (select * from (select distinct frame from det), (select unnest(range(20)) cx), (select unnest(range(12)) cy)) f left join g0 using (frame, cx, cy)),
-        dark as (select frame, cx, cy from (select *, quantile_cont(gray, 0.5) over (partition by frame) md from g) where gray < md - 12),
-        open as (select * from dark d where (cx = 0 or exists (from dark e where e.frame = d.frame and e.cx = d.cx - 1 and e.cy = d.cy)) and (cy = 0 or exists (from dark e where e.frame = d.frame and e.cx = d.cx and e.cy = d.cy - 1))
-          and (cx = 0 or cy = 0 or exists (from dark e where e.frame = d.frame and e.cx = d.cx - 1 and e.cy = d.cy - 1)))"""),
+        "r as (select frame, cx, cy, {'x': cx, 'y': cy} root from c union select c.frame, c.cx, c.cy, r.root from r join c on c.frame = r.frame and abs(c.cx - r.cx) <= 1 and abs(c.cy - r.cy) <= 1)", recursive=True),
+    "dark_mask": _q("select frame, cx, cy from masked", _DET, _MASK),
+    "blob_density": _q("select frame, cx, cy, label.x label_x, label.y label_y, round(greatest(1e0, count(*) over (partition by frame, label) / 3e0) / count(*) over (partition by frame, label), 6) mass from (select frame, cx, cy, min(root) label from r group by all)",
+        _DET, _MASK, "r as (select frame, cx, cy, {'x': cx, 'y': cy} root from masked union select c.frame, c.cx, c.cy, r.root from r join masked c on c.frame = r.frame and abs(c.cx - r.cx) <= 1 and abs(c.cy - r.cy) <= 1)", recursive=True),
     "density_field": _q("select frame, cx, cy, round(density, 6) density from field", _DET, _FIELD),
-    "heat_published": _q("""select frame, round(heat_max, 6) heat_max, least(255, greatest(0, floor(heat_max / 7 * 255)))::int idx from (select frame, max(density) heat_max from field group by frame)
-        qualify row_number() over (partition by floor(frame / 5) order by frame) = 1""", _DET, _FIELD),
+    "heat_published": _q("select frame, round(heat_max, 6) heat_max, least(255, greatest(0, floor(heat_max / 7 * 255)))::int idx from hp join pk using (frame)",
+        _DET, _FIELD, "pk as materialized (select frame, max(density) heat_max from field group by frame)", "hp as (select min(frame) frame from pk union all select min(pk.frame) from hp join pk on pk.frame >= hp.frame + 5 group by hp.frame)", recursive=True),
     "alert_counts": _ALERT("select severity, (select count(*) from cur where state = 'active' and cur.severity = s.severity) active from (values ('green'), ('amber'), ('red')) s(severity)"),
     "announced_once": _q("select 'a' || seq alert_id, zone_id, ['green', 'amber', 'red'][sv + 1] severity, min(t) t from sev join num using (zone_id, ep) where kind <> 'resolved' group by all", *_A,
         _FSM.replace(">= 45", ">= 4").replace(">= 25", ">= 5").replace(">= 10 ", ">= 2 ").replace("< 120", "< 12"), recursive=True),
@@ -140,6 +164,7 @@ ORACLES = {
     "zone_flow": _q("select frame, zone_id, round(speed + 1e-9, 6) speed, round(variance, 6) variance, round(heading, 6) heading, round(coherence, 6) coherence from zf where kind = 'zone'", *_O),
     "observations": _q("select zone_id, frame, t, round(density, 6) density, round(cnt, 6) count, round(speed + 1e-9, 6) speed, round(heading, 6) heading, round(variance, 6) variance from obs", *_O),
     "density_slope": _q("select zone_id, frame, round(rate, 5) + 0e0 rate, round(baseline + 1e-9, 5) baseline, round(ttc, 5) ttc, band from ass", *_A),
+    "scene_epochs": _q("select zone_id, frame, epoch, opens, cause, round(speed + 1e-9, 5) speed, round(rate, 5) + 0e0 rate, round(baseline + 1e-9, 5) baseline, round(ttc, 5) ttc, band from ef", *_O, _EPOCH),
     "risk_signals": _q("select zone_id, frame, round(drp, 5) as drop, round(pressure, 5) pressure, round(convergence, 5) convergence, against, l_flow_breakdown, l_density_trend, l_convergence, l_pressure, l_density from sg", *_A),
     "signals_long": _q("""select zone_id, frame, ord, name, ['green', 'amber', 'red'][lv + 1] as level, round(value, 3) + 0e0 as value, detail from (
         select zone_id, frame, unnest([0, 1, 2, 3, 4]) ord, unnest(['density', 'density_trend', 'flow_breakdown', 'convergence', 'pressure']) name, unnest([l_density, l_density_trend, l_flow_breakdown, l_convergence, l_pressure]) lv,

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import DEFAULT_SCENE
 from ..functions import geometry as G
-from ..operators import alerts, crowd, flow, heat, risk, state, zones
+from ..operators import alerts, crowd, epochs, flow, heat, risk, state, zones
 from ..sources import bridge, store
+from ..sources.stored import Steps
 
 #: The scene of the queries: the default one seen at a slant, with a concave zone and a neighbour that isn't declared.
 CHANGED = {"exit_apron": {"polygon": ((0, 320), (960, 320), (960, 544), (480, 544), (480, 432), (0, 432))}, "ghat_west": {"neighbors": ("north_bank", "ghat_east", "west_approach")}}
@@ -39,7 +40,7 @@ def _samples(spark, d):
 
 
 def _state(spark, d, wanted):
-    return flow.zone_state(_samples(spark, d), SCENE, wanted, zones.frame_range(_points(spark, d)))
+    return flow.zone_state(_samples(spark, d), SCENE, wanted, zones.frames(_points(spark, d)))
 
 
 def _observations(spark, d):
@@ -50,8 +51,11 @@ def _assessed(spark, d):
     return risk.assess(_observations(spark, d), SCENE)
 
 
+ZONE_IDS = tuple(z.id for z in SCENE.zones)
+
+
 def _alerts(spark, d):
-    return alerts.current(alerts.numbered(alerts.events(_assessed(spark, d), TH)))
+    return alerts.current(alerts.numbered(alerts.events(_assessed(spark, d), TH), ZONE_IDS))
 
 
 def detections(spark, d):
@@ -86,7 +90,7 @@ def zone_membership(spark, d):
 
 
 def zone_density(spark, d):
-    return _r(zones.zone_mass(_points(spark, d), SCENE, SCENE.zones, zones.frame_range(_points(spark, d))).select("frame", "zone_id", "samples", "count", "density"), "count", "density")
+    return _r(zones.zone_mass(_points(spark, d), SCENE, SCENE.zones, zones.frames(_points(spark, d))).select("frame", "zone_id", "samples", "count", "density"), "count", "density")
 
 
 def density_regrid(spark, d):
@@ -94,7 +98,7 @@ def density_regrid(spark, d):
 
 
 def heat_cells(spark, d):
-    return _r(heat.heat(_points(spark, d), 32, M_PER_PX).select("frame", "cx", "cy", "density"), "density")
+    return _r(heat.heat(_points(spark, d), 32, M_PER_PX).select("frame", "cx", "cy", "density", "idx", "b", "g", "r", "a"), "density")
 
 
 def heat_lut(spark, d):
@@ -115,12 +119,21 @@ def blob_components(spark, d):
     return heat.blobs(cells, 2.0)
 
 
-def dark_mask(spark, d):
-    """Opened mask of gray grids: cells of 48 pixels, darker the more events stand in them."""
+def _gray(spark, d):
+    """Gray grids: cells of 48 pixels, darker the more events stand in them."""
     cells = _points(spark, d).groupBy("frame", F.floor(F.col("x") / 48).alias("cx"), F.floor(F.col("y") / 48).alias("cy")).agg(F.count("*").alias("n"))
     full = cells.select("frame").distinct().withColumn("cx", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("cy", F.explode(F.sequence(F.lit(0), F.lit(11))))
-    gray = full.join(cells, ["frame", "cx", "cy"], "left").withColumn("gray", 120.0 - (F.col("cx") * 37 + F.col("cy") * 53 + F.col("frame") * 29) % 60 - F.coalesce("n", F.lit(0)) * 15)
-    return heat.mask(gray, 12.0)
+    return full.join(cells, ["frame", "cx", "cy"], "left").withColumn("gray", 120.0 - (F.col("cx") * 37 + F.col("cy") * 53 + F.col("frame") * 29) % 60 - F.coalesce("n", F.lit(0)) * 15)
+
+
+def dark_mask(spark, d):
+    """Opened mask of gray grids."""
+    return heat.mask(_gray(spark, d), 12.0)
+
+
+def blob_density(spark, d):
+    """Gray grid, mask, components, and each component's people spread back over its cells."""
+    return _r(heat.blob_density(_gray(spark, d), 12.0, 3.0), "mass")
 
 
 def density_field(spark, d):
@@ -139,7 +152,7 @@ def alert_counts(spark, d):
 
 def announced_once(spark, d):
     """Events to announce: an alert's first event and each later one of another severity, nothing twice."""
-    log = alerts.numbered(alerts.events(_assessed(spark, d), replace(TH, dwell_s=5.0, resolve_s=4.0, reassert_gap_s=12.0)))
+    log = alerts.numbered(alerts.events(_assessed(spark, d), replace(TH, dwell_s=5.0, resolve_s=4.0, reassert_gap_s=12.0)), ZONE_IDS)
     return alerts.announced(log).select("alert_id", "zone_id", "severity", "t")
 
 
@@ -149,7 +162,7 @@ def flow_jitter_removed(spark, d):
 
 
 def zone_flow(spark, d):
-    f = flow.zone_flow(_samples(spark, d), SCENE.zones, zones.frame_range(_points(spark, d)), G.ground(SCENE))
+    f = flow.zone_flow(_samples(spark, d), SCENE.zones, zones.frames(_points(spark, d)), G.ground(SCENE))
     return _r(_off_ties(f, "speed").select("frame", "zone_id", "speed", "variance", "heading", "coherence"), "speed", "variance", "heading", "coherence")
 
 
@@ -163,6 +176,18 @@ def density_slope(spark, d):
     return _r(_off_ties(w, "baseline").select("zone_id", "frame", "rate", "baseline", "ttc", "band"), "rate", "baseline", "ttc", places=5).withColumn("rate", F.col("rate") + 0.0)  # no negative zero
 
 
+def scene_epochs(spark, d):
+    """Windows and smoothing cut at changes of the scene: the figures of every zone and frame, with its epoch."""
+    points = _points(spark, d)
+    log = bridge.scene_changes(bridge.events(spark, d))
+    frames = Steps(spark).keep("frames", epochs.used(epochs.numbered(zones.frames(points), log), log))
+    w = risk.windowed(epochs.observations(_samples(spark, d), frames, SCENE), TH)
+    w = w.withColumn("ttc", risk.time_to_critical(F.col("density"), F.col("rate"), TH)).withColumn("band", risk.band(F.col("density"), TH))
+    w = w.join(frames.select("frame", "opens", "cause"), "frame")
+    w = _off_ties(w, "baseline", "speed").select("zone_id", "frame", "epoch", "opens", "cause", "speed", "rate", "baseline", "ttc", "band")
+    return _r(w, "speed", "rate", "baseline", "ttc", places=5).withColumn("rate", F.col("rate") + 0.0)
+
+
 def risk_signals(spark, d):
     s = risk.signals(_observations(spark, d), SCENE)
     return _r(s.select("zone_id", "frame", "drop", "pressure", "convergence", "against", *[f"l_{k}" for k in risk.SIGNALS]), "drop", "pressure", "convergence", places=5)
@@ -283,8 +308,8 @@ def truth_points(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     detections, flow_samples, sampled_latest_per_bucket, region_geometry, pixel_area_profile, unknown_neighbours, zone_membership, zone_density,
-    density_regrid, heat_cells, heat_lut, band_legend, detection_splat, blob_components, dark_mask, density_field, heat_published, alert_counts, announced_once, flow_jitter_removed, zone_flow, observations,
-    density_slope, risk_signals, signals_long, zone_states, assess_scene, risk_changes, latest_per_zone, zones_worst_first, corridor_status, totals, count_error, fps_ewma,
+    density_regrid, heat_cells, heat_lut, band_legend, detection_splat, blob_components, dark_mask, blob_density, density_field, heat_published, alert_counts, announced_once, flow_jitter_removed, zone_flow, observations,
+    density_slope, scene_epochs, risk_signals, signals_long, zone_states, assess_scene, risk_changes, latest_per_zone, zones_worst_first, corridor_status, totals, count_error, fps_ewma,
     alert_events, alert_events_quick, alerts_current, alerts_live, alerts_recent, alert_feed, max_alert_seq, retention_purge, audit_tail, radius_neighbours, local_density,
     scenario_phase, spawn_schedule, truth_points,
 )}

@@ -37,6 +37,13 @@ def flow_samples(points: DataFrame) -> DataFrame:
     return points.select("event_id", "frame", "t", "x", "y", "value", "mass", (F.least("value", F.lit(200.0)) * F.least("value", F.lit(200.0))).alias("weight"), (v * F.sin(theta)).alias("dx"), (-v * F.cos(theta)).alias("dy"))
 
 
+def scene_changes(events: DataFrame) -> DataFrame:
+    """t, cause: the scene is changed at each day's error of the highest value (the last of equal ones); on the first day of a month it is a reset."""
+    day = events.where("event_type = 'error'").groupBy(F.to_date("ts").alias("day")).agg(F.max_by("ts", F.struct("value", "event_id")).alias("ts"))
+    frame = F.datediff("ts", F.lit(_DAY0).cast("date")) * 24 + F.hour("ts")
+    return day.select((F.lit(START) + frame).alias("t"), F.when(F.dayofmonth("day") == 1, "reset").otherwise("scene").alias("cause"))
+
+
 def latest_per_bucket(events: DataFrame, seconds: int) -> DataFrame:
     """Newest wins: the last event of every bucket of so many seconds (a batch keeps all others for other uses)."""
     bucket = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (seconds * 1_000_000))
