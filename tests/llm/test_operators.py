@@ -205,6 +205,10 @@ def test_html_pages(spark):
         ("<div class='share-price'>The price rose.</div>", "The price rose."), ("<p id='search-theory'>On search.</p>", "On search."), ("<p class='notice-period'>Three months.</p>", "Three months."),
         ("<p>Let <math><mi>x</mi></math> be</p>", "Let x be"), ("<p><label>Fig. 1</label> A map</p>", "Fig. 1 A map"), ("<div class='share-buttons'>Tweet</div><p>a</p>", "a"), ("<div id='comments'>Nice</div><p>a</p>", "a"),
         ("<p class='lead related-posts'>More</p><p>a</p>", "a"), ("<p>one</p></article><div>ad</div><article><p>two</p>", "one\ntwo"), ("<ul><li>a<li>b</ul></b></i>", "a\nb"),
+        ("<p title='the hidden gem'>a</p>", "a"), ("<p data-id='share'>a</p>", "a"), ("<p>see <a href='/x?id=menu'>a</a></p>", "see a"), ("<div data-role='search'>a</div>", "a"), ("<p aria-label='role=menu'>a</p>", "a"), ("<p title='class=ad'>a</p>", "a"),
+        ("<p title=\"it's hidden\" class=lead>a</p>", "a"), ("<p data-x= class=ad>b</p><p class = 'ad'>no</p>", "b"), ("<p CLASS=\"lead\" class='ad'>a</p>", "a"), ("<p hidden>no</p><p>a</p>", "a"), ("<p style='color:red; display : none'>no</p>a", "a"),
+        ("<p>un<wbr>broken im<img src=x>age line<br>end</p>", "unbroken image line end"), ("<p class='share-text'>a</p><p id='title-search'>b</p>", "a\nb"),
+        ("<p>a</p></article><article class='user-comment'>no</article><article itemprop='comment'>no</article><article itemscope itemtype='https://schema.org/Comment'>no", "a"),
     ],
 )
 def test_inside_an_article(inside, want):

@@ -2,8 +2,8 @@
 
 A page is read into elements and text pieces. Elements that are never article text (scripts, styles, forms, menus,
 headers outside the article, footers, asides, adverts, notices, comments: by tag, role, hidden state, or a name of
-their class or id that says just this, such as "comments" or "share-buttons", but not "share-price") are left out with all
-they hold. The content is all outermost ``article`` elements, else all outermost ``main``, else the body without menus made of links.
+their class or id that says just this, such as "comments" or "share-buttons", but not "share-price" or "share-text"; reader comments also by their microdata) are left out with all
+they hold. Only these attributes themselves are read, not what looks like one inside another's value or name. The content is all outermost ``article`` elements, else all outermost ``main``, else the body without menus made of links.
 
 Site templates: every block element of the content gets the hash of its subtree (tag, text, children). Spark counts
 each hash per host over distinct pages, copies of one page counting once, and a subtree that recurs on at least
@@ -30,7 +30,9 @@ from .text import Tables, free, table
 
 MIN_PAGES, SHARE, BROADCAST_TEMPLATES = 8, 0.5, 200_000
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+|[^>]*+)>|<[!?][^>]*+>|<[A-Za-z/][^>]*+\Z""", re.DOTALL)
-_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+#: One attribute: its name and its value, which may hold anything between its quotes.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]*+))?|["'/=]""")
+_TOLD = frozenset(("class", "id", "role", "hidden", "aria-hidden", "style", "itemprop", "itemtype"))
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _RAW = {n: re.compile(rf"</{n}\s*>?", re.IGNORECASE) for n in ("script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,7 +46,8 @@ _WORDS = frozenset("""nav navbar navigation menu submenu breadcrumb breadcrumbs
     adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login
     comment comments commentlist disqus respond reply replies related recommended recommendations share sharing social search pagination pager skip toolbar disclaimer hidden""".split())
 #: What may stand beside such a word in a name that still says no more than it.
-_BESIDE = frozenset("area bar banner block body bottom box button buttons container content form group icon icons inner item items left link links list main outer page post posts primary right row section secondary site slot text title top unit wrap wrapper".split())
+_BESIDE = frozenset("""area bar banner block body bottom box button buttons container content form group icon icons inner item items left link links list main outer page post posts primary right row section secondary site slot top unit wrap wrapper
+    user users reader readers visitor visitors guest guests thread threads""".split())
 _MASK = (1 << 64) - 1
 
 
@@ -53,8 +56,15 @@ def _excluded(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if not attributes or tag in ("html", "body", "main"):
         return False
-    for name, value in _NAMES.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
+    seen = set()
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name not in _TOLD or name in seen:  # of attributes of one name the first counts
+            continue
+        seen.add(name)
+        value = references.unescape(value[1:-1] if value[:1] in ("'", '"') else value).lower()
+        if name == "itemprop" and value == "comment" or name == "itemtype" and value.rstrip("/").rpartition("/")[2] in ("comment", "usercomments"):
+            return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
             return True
         if name == "role" and value in _ROLES:
@@ -140,8 +150,10 @@ class Page:
                 if n > scopes[-1]:
                     leave(n)
             if name in _VOID:
-                if not skip:
-                    self._flush() if name == "hr" else text(" ")
+                if not skip and name == "hr":
+                    self._flush()
+                elif not skip and name == "br":
+                    text(" ")
                 continue
             if name in _RAW:
                 end = _RAW[name].search(source, at)
