@@ -319,6 +319,45 @@ def test_short_fuzzy_passages(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_shared_phrase_takes_few_pairs(spark, monkeypatch):
+    """Documents that share 30 words and nothing else are aligned with a few others each, however many they are."""
+    sizes = {}
+    keep = passages.Tables.keep
+
+    def counted(self, name, df):
+        out = keep(self, name, df)
+        if name.startswith("pairs"):
+            sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(passages.Tables, "keep", counted)
+    phrase = " ".join(f"s{i}" for i in range(30))
+    for n in (40, 120):
+        own = lambda k, c: " ".join(f"{c}{k}x{i}" for i in range(60))
+        rows = [(k, f"{own(k, 'a')} {phrase} {own(k, 'b')}") for k in range(n)]
+        assert passages.find(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+        assert sum(sizes.values()) <= 4 * n
+
+
+def test_fuzzy_passages_in_crowds(spark):
+    """Groups of 20 documents with a passage of 60 words, 8 % of the words changed in each, and a phrase that all documents share: groups are connected, and apart."""
+    rng, rows = random.Random(12), []
+    phrase = [f"s{i}" for i in range(30)]
+    for g in range(12):
+        base = [f"p{g}w{i}" for i in range(60)]
+        for k in range(20):
+            gone = set(rng.sample(range(60), 5))
+            changed = [f"q{g}x{k}w{i}" if i in gone else w for i, w in enumerate(base)]
+            rows.append((20 * g + k, " ".join([f"a{g}x{k}w{i}" for i in range(30)] + changed + [f"b{g}x{k}w{i}" for i in range(25)] + phrase)))
+    of = {i: i for i, _ in rows}
+    for a, b in linked(spark, rows):
+        assert a // 20 == b // 20
+        old, new = of[a], of[b]
+        of = {i: new if c == old else c for i, c in of.items()}
+    most = [max(Counter(of[20 * g + k] for k in range(20)).values()) for g in range(12)]
+    assert sum(most) >= 0.95 * len(rows)
+
+
 def test_periodic_passage(spark):
     own = lambda n: " ".join(f"d{n}x{i}" for i in range(30))
     rows = [(1, f"{own(1)} {'la ' * 86} {own(2)}"), (2, f"{own(3)} {'la ' * 90} {own(4)}"), (3, f"{own(5)} {'go on ' * 40} {own(6)} {'go on ' * 9}"), (4, f"{own(7)} {'go on ' * 40}")]
