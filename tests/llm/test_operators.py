@@ -462,7 +462,7 @@ def brute_components(texts):
 def test_large_groups(spark, monkeypatch, block):
     """Groups of near copies around the threshold, dealt over many blocks, against all pairs."""
     monkeypatch.setattr(neardup, "BLOCK", block)
-    monkeypatch.setattr(neardup, "TILE", (8, 6))
+    monkeypatch.setattr(neardup, "TILE", (1000, 6))
     rng, texts = random.Random(block), {}
     for g in range(6):
         base = [f"g{g}w{rng.randrange(200)}" for _ in range(120)]
@@ -476,6 +476,38 @@ def test_large_groups(spark, monkeypatch, block):
     assert len(set(want.values())) > 8 and got == want
 
 
+def test_repeated_ids_are_classed_by_their_own_text(spark):
+    """Id 1 stands for two texts, one of them nearly that of 2; id 4 for its own text and that of 5."""
+    a, b, c = ([f"{k}{i}" for i in range(60)] for k in "abc")
+    near = [*a[:59], "other"]
+    rows = [(1, " ".join(b), "x"), (1, " ".join(a), "y"), (2, " ".join(near), "z"), (4, " ".join(c), "u"), (5, " ".join([*b[:59], "own"]), "v"), (5, None, "w"), (4, " ".join(c), "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.classify(docs).collect())
+    assert got == [(1, 56, 1), (1, 56, 1), (2, 56, 1), (4, 56, 4), (4, 56, 4), (5, 0, 5), (5, 56, 1)]
+    kept = {r["doc_id"]: (r["text"], r["h"]) for r in neardup.keep_one(docs).collect()}
+    assert set(kept) == {1, 4, 5} and kept[1] == (" ".join(a), "y") and kept[5] == (None, "w") and kept[4][0] == " ".join(c)
+    assert neardup.keep_one(docs).count() == 3 and neardup.keep_one(docs).columns == docs.columns
+
+
+def test_rows_under_the_threshold(spark, monkeypatch):
+    """Documents that are candidates but not linked: the rows laid out for them grow with their number."""
+    sizes = []
+    keep = neardup.Tables.keep
+
+    def counted(self, name, df):
+        out = keep(self, name, df)
+        if name == "more_tiles":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup.Tables, "keep", counted)
+    for n in (100, 400):
+        base = [f"w{i}" for i in range(200)]
+        rows = [(k, " ".join(base + [f"d{k}x{i}" for i in range(18)])) for k in range(n)]
+        assert len({r["component_id"] for r in neardup.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}) == n
+    assert not sizes or sizes[-1] <= 4 * 400
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")

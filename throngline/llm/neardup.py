@@ -16,9 +16,11 @@ dealt into blocks of about BLOCK members, its first member standing in each. No
    which nearly always joins a group of near copies at once;
 2. where a bucket still holds several components, a document outside its largest component (a straggler) with a
    candidate of another component in it is compared in full with all of the largest component and with its other
-   stragglers. These are laid out in tiles (TILE): a tile's sets are held, the stragglers stream by.
+   stragglers. These are laid out in tiles (TILE): a tile's sets are held, up to so many shingles, the stragglers stream by.
 
-So no link between components is lost, and rows grow with stragglers and members, not with their pairs.
+So no link between components is lost, and no rows are made for pairs. A straggler is repeated once for each tile of its family: where a
+family of documents just under the threshold is larger than a tile, rows grow with its square divided by a tile's number of documents (thousands), and the
+comparisons inside the tiles with its square, which exact verification can't avoid. Sets travel as packed hashes, made once a class.
 
 Defined cases: a null or wordless text has an empty set, is linked with nothing and is kept; repeated rows with
 the same text fall in one class; rows that repeat a doc_id with another text are classed by their own text; a
@@ -35,14 +37,14 @@ import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .text import Tables, chunks, space_words, table, utf8
+from .text import Tables, chunks, free, space_words, table, utf8
 
 SHINGLE, BINS, BANDS = 5, 125, 25
 PERCENT = 85
 #: Coordinates of BINS (by 4 bits each) that a candidate's sketch shares at least, 4.75 standard deviations below the mean at 0.85.
 AGREE = 88
-#: Members of a block; members and stragglers of a tile. Buckets up to SMALL members are settled by step 1: all their candidates are compared.
-BLOCK, TILE, SMALL = 512, (128, 4096), 4
+#: Members of a block; shingles held and stragglers of a tile. Buckets up to SMALL members are settled by step 1: all their candidates are compared.
+BLOCK, TILE, SMALL = 512, (1_000_000, 4096), 4
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -216,13 +218,13 @@ def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, held = None, None
     for batch in batches:
         a, b = [], []
-        for text, *key, side, node, comp in zip(utf8(batch["text"]), *(batch[c].to_pylist() for c in ("main", "ta", "tb", "side", "node", "comp")), strict=True):
+        for packed, *key, side, node, comp in zip(batch["items"].to_pylist(), *(batch[c].to_pylist() for c in ("main", "ta", "tb", "side", "node", "comp")), strict=True):
             if at != key:
                 at, names, comps, sets, held = key, [], [], [], None
             if side == 0:
                 names.append(node)
                 comps.append(comp)
-                sets.append(shingles(text))
+                sets.append(np.frombuffer(packed, np.uint64))
                 continue
             if not sets:
                 continue
@@ -231,7 +233,7 @@ def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 items = np.concatenate(sets)
                 order = np.argsort(items, kind="stable")
                 held = items[order], np.repeat(np.arange(len(sets)), sizes)[order]
-            own = shingles(text)
+            own = np.frombuffer(packed, np.uint64)
             low, high = np.searchsorted(held[0], own), np.searchsorted(held[0], own, side="right")
             runs = high - low
             both = np.bincount(held[1][np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs - low, runs)], minlength=len(sets))
@@ -242,14 +244,18 @@ def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
 
 
+@F.arrow_udf(T.BinaryType())
+def packed(column: pa.Array) -> pa.Array:
+    """The sorted shingle hashes of a text."""
+    return pa.array([shingles(t).tobytes() for t in utf8(column)], pa.binary())
+
+
 @F.arrow_udf(T.BooleanType())
 def linked(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Whether 100 * intersection >= 85 * union; the set of a left text that comes again in the next row is kept."""
-    out, last, own = [], None, None
-    for a, b in zip(utf8(left), utf8(right), strict=True):
-        if a != last:
-            last, own = a, shingles(a)
-        other = shingles(b)
+    """Whether 100 * intersection >= 85 * union of two packed sets."""
+    out = []
+    for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True):
+        own, other = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
         both = len(np.intersect1d(own, other, assume_unique=True))
         out.append(100 * both >= PERCENT * (len(own) + len(other) - both))
     return pa.array(out, pa.bool_())
@@ -283,23 +289,30 @@ def components(links: DataFrame, tables: Tables, name: str) -> DataFrame:
     return both
 
 
-def _texts(nodes: DataFrame, texts: DataFrame, tables: Tables, name: str) -> DataFrame:
-    """The texts of the nodes. The nodes are a table of known size: Spark sends a small one to the texts (up to spark.sql.autoBroadcastJoinThreshold), a larger one is joined by a shuffle."""
-    return texts.join(tables.keep(name, nodes.distinct()), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+def _sets(nodes: DataFrame, heads: DataFrame, texts: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """(node, items) of the nodes. A class's set is made from the text of its first row, found by its id and the hash of its text.
+
+    The nodes are a table of known size: Spark sends a small one to the texts (up to spark.sql.autoBroadcastJoinThreshold), a larger one is joined by a shuffle.
+    """
+    wanted = tables.keep(f"{name}_wanted", heads.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h")).join(nodes.distinct(), "node", "left_semi"))
+    found = texts.join(wanted, ["doc_id", "h"]).groupBy("node").agg(F.min("text").alias("text"))
+    return tables.keep(name, found.select("node", packed("text").alias("items")))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, tables: Tables, name: str) -> DataFrame:
-    """The pairs (a, b) whose texts are linked."""
-    few = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts, tables, f"{name}_nodes")
-    left, right = (few.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    return tables.keep(name, pairs.join(right, "b").join(left, "a").where(linked("text_a", "text_b")).select("a", "b"))
+def _verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets are linked."""
+    few = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), heads, texts, tables, f"{name}_nodes")
+    left, right = (few.select(F.col("node").alias(k), F.col("items").alias(f"items_{k}")) for k in "ab")
+    return tables.keep(name, pairs.join(right, "b").join(left, "a").where(linked("items_a", "items_b")).select("a", "b"))
 
 
-def _crossed(attached: DataFrame, comps: DataFrame, texts: DataFrame, tables: Tables, name: str) -> DataFrame:
+def _crossed(attached: DataFrame, comps: DataFrame, heads: DataFrame, texts: DataFrame, tables: Tables, name: str) -> DataFrame:
     """Links of the stragglers (main, node, comp) with the component `main` and with each other, compared in tiles."""
-    parts = lambda n, most: F.ceil(F.col(n) / most).cast("int")
-    size = comps.groupBy(F.col("comp").alias("main")).agg(F.count("*").alias("c"))
-    families = attached.groupBy("main").agg(F.count("*").alias("k")).join(size, "main", "left").select("main", parts("k", TILE[1]).alias("na"), F.ceil((F.col("k") + F.coalesce("c", F.lit(1))) / TILE[0]).cast("int").alias("nb"))
+    n = heads.select("node", "n")
+    size = comps.join(n, "node").groupBy(F.col("comp").alias("main")).agg(F.sum("n").alias("c"))
+    own = n.withColumnsRenamed({"node": "main", "n": "alone"})  # a component of one document has no row in comps
+    families = attached.join(n, "node").groupBy("main").agg(F.count("*").alias("k"), F.sum("n").alias("kn")).join(size, "main", "left").join(own, "main")
+    families = families.select("main", F.ceil(F.col("k") / TILE[1]).cast("int").alias("na"), F.ceil((F.col("kn") + F.coalesce("c", "alone")) / TILE[0]).cast("int").alias("nb"))
     families = tables.keep(f"{name}_families", families)
     given = attached.join(families, "main")
     inside = comps.withColumn("main", F.col("comp")).join(families, "main").select("main", "node", "comp", "na", "nb")
@@ -308,19 +321,26 @@ def _crossed(attached: DataFrame, comps: DataFrame, texts: DataFrame, tables: Ta
     members = members.select("main", "node", "comp", F.lit(0).alias("side"), F.explode(F.expr("sequence(0, na - 1)")).alias("ta"), F.pmod(F.hash("node"), "nb").alias("tb"))
     streams = given.select("main", "node", "comp", F.lit(1).alias("side"), F.pmod(F.hash("node"), "na").alias("ta"), F.explode(F.expr("sequence(0, nb - 1)")).alias("tb"))
     laid = tables.keep(f"{name}_tiles", members.unionByName(streams))
-    rows = laid.join(_texts(laid.select("node"), texts, tables, f"{name}_nodes"), "node").repartition("main", "ta", "tb").sortWithinPartitions("main", "ta", "tb", "side")
+    rows = laid.join(_sets(laid.select("node"), heads, texts, tables, f"{name}_nodes"), "node").repartition("main", "ta", "tb").sortWithinPartitions("main", "ta", "tb", "side")
     kind = attached.schema["node"].dataType
     return tables.keep(name, rows.mapInArrow(tiles, T.StructType().add("a", kind).add("b", kind)))
 
 
 def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of `docs`: doc_id, n_shingles, component_id, kept."""
+    return _classified(docs, text, doc_id).drop("h")
+
+
+def _classified(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The rows of `classify` with h, a hash of the row's text."""
     tables = Tables(docs.sparkSession)
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = tables.keep("rows", own.select("doc_id", sketched("text").alias("s")).select("doc_id", "s.*"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    rows = tables.keep("rows", own.select("doc_id", "h", sketched("text").alias("s")).select("doc_id", "h", "s.*"))
     named = rows.where("key is not null and doc_id is not null")
-    heads = tables.keep("heads", named.groupBy("key").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n", "bands", "mini"))))
-    kind = rows.schema["doc_id"].dataType
+    # a class has a number of its own: an id may stand for several texts
+    heads = named.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("first"), *(F.first(c).alias(c) for c in ("n", "bands", "mini")))
+    heads = tables.keep("heads", heads.withColumn("node", F.monotonically_increasing_id()))
+    kind = T.LongType()
     pair = T.StructType().add("a", kind).add("b", kind)
     # buckets of two members or more, and the block of each member; the first member of a bucket stands in all its blocks
     spread = heads.select(F.explode("bands").alias("bucket"), "node")
@@ -331,8 +351,8 @@ def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     marks = heads.select("node", "n", "mini")
     wide = entries.select("bucket", "node", "block").unionByName(firsts).join(marks, "node").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "node")
     pairs = tables.keep("pairs", wide.mapInArrow(nearest, pair).distinct())
-    texts = own.where("doc_id is not null").withColumnRenamed("doc_id", "node")
-    links = _verified(pairs, texts, tables, "links")
+    texts = own.where("doc_id is not null")
+    links = _verified(pairs, heads, texts, tables, "links")
     comps = components(links, tables, "comps")
     # what is left: stragglers of larger buckets with several components
     state = marks.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -343,7 +363,7 @@ def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     both = both.select("bucket", "block", "role", "node", "n", "mini", "comp", "main").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "role")
     left = tables.keep("left", both.mapInArrow(crossing, T.StructType().add("main", kind).add("node", kind).add("comp", kind)).distinct())
     if not left.isEmpty():
-        more = _crossed(left, comps, texts, tables, "more")
+        more = _crossed(left, comps, heads, texts, tables, "more")
         ends = (comps.select(F.col("node").alias(k), F.col("comp").alias(f"comp_{k}")) for k in "ab")
         for k, end in zip("ab", ends, strict=True):
             more = more.join(end, k, "left").withColumn(k, F.coalesce(f"comp_{k}", k)).drop(f"comp_{k}")
@@ -351,19 +371,26 @@ def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
         # a root's component may be a single document without a link of step 1
         single = roots.join(comps.select("comp").distinct(), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("root").alias("comp"))
         comps = comps.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")).unionByName(single)
-    classes = tables.keep("classes", heads.join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("comp")))
-    tables.drop("heads", "entries", "pairs", "links_nodes", "links", "comps", "live", "left", "more_families", "more_tiles", "more_nodes", "more", "roots")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(classes, "key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of = tables.keep("of", heads.join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"), "first.doc_id"))
+    least = tables.keep("least", of.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
+    classes = tables.keep("classes", of.join(least, "comp").select("key", "component_id"))
+    tables.drop("heads", "entries", "pairs", "links_nodes_wanted", "links_nodes", "links", "comps", "live", "left", "more_families", "more_tiles", "more_nodes_wanted", "more_nodes", "more", "roots", "of", "least")
+    out = rows.select("doc_id", "h", F.col("n").alias("n_shingles"), "key").join(classes, "key", "left")
+    return out.select("doc_id", "h", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """`docs` with one document of each group, the one with the smallest id; rows that repeat an id count once.
 
-    Rows with a null id can't be named by a group and stay as they are.
+    Of several rows with a kept id the one with the least text stays, of those whose own text is kept. Rows with a null id can't
+    be named by a group and stay as they are.
     """
-    kept = classify(docs, text, doc_id).where("kept and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(kept, doc_id, "left_semi").dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
+    h, row = free(docs, "h"), free(docs, "row")
+    kept = _classified(docs, text, doc_id).where("kept and doc_id is not null").select(F.col("doc_id").alias(doc_id), F.col("h").alias(h)).distinct()
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    own = docs.withColumn(h, F.xxhash64(text)).join(kept, [doc_id, h], "left_semi")
+    one = own.groupBy(doc_id).agg(F.min_by(F.struct(*cols), F.struct(F.col(text), F.xxhash64(*cols))).alias(row))
+    return one.select(f"{row}.*").unionByName(docs.where(F.col(doc_id).isNull()))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
