@@ -505,7 +505,7 @@ def test_rows_under_the_threshold(spark, monkeypatch):
         base = [f"w{i}" for i in range(200)]
         rows = [(k, " ".join(base + [f"d{k}x{i}" for i in range(18)])) for k in range(n)]
         assert len({r["component_id"] for r in neardup.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}) == n
-    assert not sizes or sizes[-1] <= 4 * 400
+    assert len(sizes) < 2 or sizes[1] <= 4 * sizes[0]
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
