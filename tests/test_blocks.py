@@ -234,3 +234,79 @@ def test_publication_is_greedy(spark, block):
     d = spark.createDataFrame([(x, i) for i, x in enumerate(times)] + [(times[3], 99), (None, 98)], "t double, i long")
     assert sorted(r["t"] for r in heat.throttled(d, 5.0, block).collect()) == want
     assert heat.throttled(d.limit(0), 5.0).count() == 0
+
+
+def test_quantiles_against_numpy(spark, monkeypatch):
+    monkeypatch.setattr(select, "BINS", 8)
+    rng = np.random.default_rng(1)
+    groups = {"a": rng.normal(size=333), "b": rng.exponential(size=50) ** 9, "c": np.array([4.0])}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v]
+    shares = {"lo": 0.0, "q1": 0.1, "q5": 0.5, "q9": 0.95, "hi": 1.0}
+    got = {r["k"]: r for r in select.quantiles(spark.createDataFrame(rows, "k string, x double"), "k", {n: ("x", s) for n, s in shares.items()}, Steps(spark)).collect()}
+    for k, v in groups.items():
+        assert got[k]["n"] == len(v) and [got[k][n] for n in shares] == pytest.approx([float(np.quantile(v, s)) for s in shares.values()])
+
+
+def test_carried_is_an_asof_join(spark):
+    rnd = random.Random(3)
+    rows = [(k, float(t), rnd.randrange(100) if rnd.random() < 0.2 else None) for k in "ab" for t in rnd.sample(range(2000), 120)]
+    d = spark.createDataFrame(rows, "k string, t double, v long")
+    got = {(r["k"], r["t"]): r["c"] for r in prefix.carried(d, F.floor(F.col("t") / 50), ("t",), F.col("v"), "c", ("k",)).collect()}
+    for k in "ab":
+        last = None
+        for _, t, v in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
+            last = v if v is not None else last
+            assert got[k, t] == last
+
+
+@pytest.mark.parametrize("alpha", [0.2, 0.9])
+def test_smoothed_rate_over_blocks(spark, monkeypatch, alpha):
+    """One key with many blocks against the loop; gaps too short to count first, equal times, a key of one frame, a null key."""
+    from throngline.operators import state
+
+    monkeypatch.setattr(state, "EWMA_BLOCK", 16)
+    rnd, t, times = random.Random(2), 50.0, [50.0, 50.001, 50.002]
+    for _ in range(700):
+        t += rnd.choice((0.005, 0.1, 0.5, 3.0, 700.0 if rnd.random() < 0.02 else 1.0))
+        times.append(t + 0.01)
+    times.append(times[300])
+    fps, want = 0.0, []
+    for i, x in enumerate(sorted(times)):
+        gap = x - sorted(times)[i - 1] if i else 0.0
+        now = 1 / gap if gap > 0.01 else 0.0
+        fps = now if fps == 0 else fps + alpha * (now - fps)
+        want.append(fps)
+    d = spark.createDataFrame([("k", x) for x in times] + [("one", 1.0), (None, 1.0), (None, 3.0), ("k", None)], "key string, t double")
+    out = state.rate_ewma(d, alpha, 128.0).collect()
+    got = sorted((r["t"], i) for i, r in enumerate(out) if r["key"] == "k")
+    assert sorted(out[i]["fps"] for _, i in got) == pytest.approx(sorted(want))
+    assert [r["fps"] for r in out if r["key"] == "one"] == [0.0] and sorted(r["fps"] for r in out if r["key"] is None) == pytest.approx([0.0, 0.5])
+
+
+def test_evidence_rules(spark):
+    """Bad names, before the first capture, in time, replaced by a later capture, expired; served ones are audited."""
+    from throngline.operators import evidence
+
+    log = spark.createDataFrame([("a1", 5.0, "fired"), ("a1", 5000.0, "escalated"), ("a1", 6000.0, "resolved"), ("a2", 9000.0, "fired")], "alert_id string, t double, kind string")
+    frames = spark.createDataFrame([(7, 10.0), (8, 4000.0), (9, 5000.0), (10, 9001.0)], "frame long, t double")
+    shots = evidence.captured(log, frames)
+    assert {(r["alert_id"], r["t"]): (r["frame"], r["thumb"]) for r in shots.collect()} == {("a1", 5.0): (None, None), ("a1", 5000.0): (9, "/frames/a1.jpg"), ("a2", 9000.0): (9, "/frames/a2.jpg")}
+    asked = [(1, "a1", 100.0, 404), (2, "a1", 5000.0, 200), (3, "a1", 5000.0 + 86_400, 200), (4, "a1", 5001.0 + 86_400, 404), (5, "a9", 9000.0, 404), (6, "../a1", 6000.0, 400), (7, None, 1.0, 400), (8, "a", 1.0, 400), (9, "a2", 9500.0, 200)]
+    answers = evidence.answered(spark.createDataFrame([r[:3] for r in asked], "id long, alert_id string, t double"), shots)
+    assert {r["id"]: r["status"] for r in answers.collect()} == {r[0]: r[3] for r in asked}
+    assert {r["frame"] for r in answers.where("status = 200").collect()} == {9}
+    assert sorted((r["detail"], r["action"]) for r in evidence.audited(answers).collect()) == [("a1", "evidence.view")] * 2 + [("a2", "evidence.view")]
+    seen = {r["status"] for r in queries.QUERIES["evidence_requests"](spark, SMALL).select("status").distinct().collect()}
+    assert seen == {200, 400, 404}
+
+
+def test_banner_and_stale_feeds(spark):
+    from throngline.operators import status
+
+    d = spark.createDataFrame([(c, n, z) for c in (True, False) for n in (True, False) for z in (0, 2)], "c boolean, n boolean, z int")
+    got = {(r["c"], r["n"], r["z"]): r["b"] for r in d.withColumn("b", status.banner(F.col("c"), F.col("n"), F.col("z"))).collect()}
+    assert got[True, True, 2] == "" and got[True, True, 0] == "no zones" and {got[True, False, z] for z in (0, 2)} == {"disconnected"} and {v for k, v in got.items() if not k[0]} == {"uncalibrated"}
+    times = spark.createDataFrame([(float(t),) for t in range(0, 20, 2)], "t double")
+    seen = spark.createDataFrame([("cam1", 1.0), ("cam1", 9.0), ("cam2", 30.0), (None, 1.0)], "source string, t double")
+    ages = {(r["source"], r["t"]): (r["age"], r["stale"]) for r in status.feeds(times, seen).collect()}
+    assert ages["cam1", 0.0] == (None, True) and ages["cam1", 4.0] == (3.0, False) and ages["cam1", 6.0] == (5.0, True) and ages["cam1", 10.0] == (1.0, False) and ages["cam2", 18.0] == (None, True)

@@ -83,3 +83,31 @@ def test_versions_stay_few(spark, tmp_path):
     for n in range(5):
         assess.step(spark.createDataFrame([r for r in rows_of(5) if r[2] == n], assess.OBSERVATION), n, DEFAULT_SCENE, f"{tmp_path}/s")
     assert len(assess.versions(spark, f"{tmp_path}/s/state")) == assess.KEPT and spark.read.parquet(f"{tmp_path}/s/out/4").agg(F.count("*")).first()[0] == len(ZONES)
+
+
+def test_newest_wins_under_a_slow_sink(spark, tmp_path):
+    """One batch a file and one batch for many files, as a slow sink would leave them: the newest of each bucket goes on, drops are counted, stale frames don't come back."""
+    from throngline.streaming import newest
+
+    schema, src, out = "source string, seq long, t double, body string", f"{tmp_path}/in", f"{tmp_path}/out"
+    rows = [(s, i, 100.0 + i / 10, f"{s}{i}") for s in ("a", "b") for i in range(60)]
+    put = lambda part: spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+
+    def run(files):
+        read = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(src)
+        q = newest.newest(read, out, 2.0).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        assert q.awaitTermination(300) and q.exception() is None
+
+    put([r for r in rows if r[1] < 20])
+    run(1)
+    for k in range(2, 6):
+        put([r for r in rows if 10 * k <= r[1] < 10 * (k + 1)])
+    put([("a", 7, 100.7, "stale"), (None, 1, 100.0, "x"), ("b", 1, None, "x")])
+    run(100)
+    got = [r for n in assess.versions(spark, f"{out}/frames") for r in spark.read.parquet(f"{out}/frames/{n}").collect()]
+    want = sorted((s, i) for s in ("a", "b") for i in range(4, 60, 5))
+    assert sorted((r["source"], r["seq"]) for r in got) == want and all(r["seen"] == 5 for r in got)
+    last = assess.versions(spark, f"{out}/sources")[-1]
+    assert {tuple(r) for r in spark.read.parquet(f"{out}/sources/{last}").collect()} == {("a", 105.9, 12, 48, 1), ("b", 105.9, 12, 48, 0)}
+    newest.step(spark.createDataFrame([(s, i, t, b) for s, i, t, b in rows if i >= 55], schema), last, out, 2.0)
+    assert spark.read.parquet(f"{out}/sources/{last}").where("source = 'a'").first()["last"] == 105.9

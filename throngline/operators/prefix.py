@@ -55,3 +55,13 @@ def lagged(df: DataFrame, block: Column, order: tuple[str, ...], value: Column,
 def spread(df: DataFrame, first: Column, last: Column) -> DataFrame:
     """Rows dealt to the blocks that need them: their own one (`halo` false) up to the last one that looks back on them (`halo` true)."""
     return df.withColumn("_own", first).withColumn("block", F.explode(F.sequence(F.col("_own"), F.greatest("_own", last)))).withColumn("halo", F.col("block") > F.col("_own")).drop("_own")
+
+
+def carried(df: DataFrame, block: Column, order: tuple, value: Column, name: str, key: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the last value that isn't null along the order of each key, the row's own included: an as-of join once both sides are rows of one table."""
+    d = df.withColumn("_block", block).withColumn("_v", F.when(value.isNotNull(), F.struct(value.alias("v"))))
+    own = F.last("_v", ignorenulls=True).over(_within(key, order).rowsBetween(Window.unboundedPreceding, 0))
+    end = d.groupBy(*key, "_block").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_end"))
+    before = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    end = end.select(*key, "_block", F.last("_end", ignorenulls=True).over(before).alias("_before"))
+    return _joined(d.withColumn("_own", own), end, key).withColumn(name, F.coalesce("_own", "_before")["v"]).drop("_block", "_v", "_own", "_before")

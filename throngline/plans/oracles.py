@@ -103,7 +103,11 @@ _O, _A = (_DET, _FLOW, _ZONES, _OBS), (_DET, _FLOW, _ZONES, _OBS, _RISK)
 _ALERT = lambda select: _q(select, *_A, _FSM, recursive=True)
 # The suggested actions.
 _ACTION = "case headline when 'density' then 'Hold inflow at the upstream barrier until density falls.' when 'density_trend' then 'Slow inflow now -- acting after the threshold is crossed is too late.' when 'flow_breakdown' then 'Movement is stalling. Stop inflow and open the nearest corridor.' when 'convergence' then 'Opposing streams meeting. Separate the flows before they lock.' when 'pressure' then 'Turbulent movement. Get eyes on this zone and prepare to hold inflow.' else '' end"
-_AGENTS = "ag as (select frame, event_id id, x / 32 x, y / 32 y from det)"
+_AGENTS = """ag as (select frame // 24 frame, event_id id, x / 32 x, y / 32 y from det),
+ld as (select a.frame, a.id, count(*) / pi() density, 125e-2 * greatest(0, least(1, 1 - count(*) / pi() / 6)) speed from ag a join ag b on a.frame = b.frame and sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 1 group by a.frame, a.id)"""
+_QUICK = _FSM.replace(">= 45", ">= 4").replace(">= 25", ">= 5").replace(">= 10 ", ">= 2 ").replace("< 120", "< 12")
+_CAPTURES = """kf as (select arg_max(date_diff('day', date '2024-01-01', cast(ts as date)) * 24 + hour(ts), (ts, event_id))::bigint frame from events group by floor(epoch(ts) / 21600)),
+cap as (select 'a' || seq alert_id, s.t, (select max(k.frame) from kf k where 1000e0 + k.frame <= s.t) frame from sev s join num using (zone_id, ep) where kind <> 'resolved')"""
 _PHASES = "ph(until_s, start_s, inflow, west_share, label) as (values (40e0, 0e0, 12e-1, 1e-1, 'calm'), (100e0, 40e0, 38e-1, 1e-1, 'procession arriving'), (200e0, 100e0, 52e-1, 8e-2, 'gate saturating'), (265e0, 200e0, 2e0, 7e-1, 'west corridor opened'), (330e0, 265e0, 0e0, 6e-1, 'clearing'), (1e9, 330e0, 0e0, 6e-1, 'recovered'))"
 
 # the blur has a width of nine cells (sigma 3); cells beyond an edge are the mirrored ones inside
@@ -189,7 +193,19 @@ ORACLES = {
     "retention_purge": _ALERT("select count(*) filter (ts >= 1400) kept, count(*) filter (ts < 1400) purged from cur"),
     "audit_tail": "select event_id id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') ts, event_type as action from events where event_type in ('error', 'purchase') order by id desc limit 50",
     "radius_neighbours": _q("select a.frame, a.id a, b.id b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) gap from ag a join ag b on a.frame = b.frame and a.id < b.id and sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 1", _DET, _AGENTS),
-    "local_density": _q("select a.frame, a.id, round(count(*) / pi(), 6) density, round(125e-2 * greatest(0, least(1, 1 - count(*) / pi() / 6)), 6) speed from ag a join ag b on a.frame = b.frame and sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 1 group by a.frame, a.id", _DET, _AGENTS),
+    "local_density": _q("select frame, id, round(density, 6) density, round(speed, 6) speed from ld", _DET, _AGENTS),
+    "speed_profile": _q("""select frame as day, count(*) n, round(avg(speed), 6) speed_mean, round(avg(density), 6) density_mean, count(*) filter (density >= 6) jammed, round(quantile_cont(speed, 0.5), 6) speed_p50, round(quantile_cont(speed, 0.9), 6) speed_p90, round(max(speed), 6) speed_max,
+        round(quantile_cont(density, 0.5), 6) density_p50, round(quantile_cont(density, 0.95), 6) density_p95, round(max(density), 6) density_max from ld group by frame""", _DET, _AGENTS),
+    "density_histogram": _q("select frame as day, case when density >= 8 then 17 else floor(density * 2)::int + 1 end bin, count(*) people from ld group by all", _DET, _AGENTS),
+    "evidence_captured": _q("select alert_id, t, frame, case when frame is not null then '/frames/' || alert_id || '.jpg' end thumb from cap", *_A, _QUICK, _CAPTURES, recursive=True),
+    "evidence_requests": _q("""select id, alert_id, t, status, case when status = 200 then frame end frame, case when status = 200 then '/frames/' || alert_id || '.jpg' end thumb from (
+        select r.*, c.frame, case when not regexp_full_match(r.alert_id, 'a[0-9]+') then 400 when c.t is null or r.t - c.t > 240 then 404 else 200 end status from rq r asof left join (from cap where frame is not null) c on r.alert_id = c.alert_id and r.t >= c.t)""",
+        *_A, _QUICK, _CAPTURES, "rq as (select event_id id, case when value < 5 then 'x' || event_id else 'a' || (event_id % 60) end alert_id, t from det where event_type = 'view')", recursive=True),
+    "feed_status": _q("""select source, t, age, coalesce(age > 3, true) stale, case when coalesce(age > 3, true) then 'disconnected' else '' end banner from (select s.source, f.t, f.t - e.t age from (select distinct t from det) f cross join (select distinct event_type source from det) s
+        asof left join (select distinct event_type source, t from det) e on e.source = s.source and f.t >= e.t)""", _DET),
+    "scene_summary": _q("""select * from (select frame, count(*) zones, count(*) filter (risk <> 'green') not_green from ass group by frame)
+        join (select frame, count(*) corridors, count(*) filter (density >= 1) not_clear from zm where kind = 'corridor' group by frame) using (frame)""", *_A),
+    "flow_on_grid": _q("select frame, zone_id, round(speed + 1e-9, 6) speed, round(variance, 6) variance from zf where kind = 'zone'", _DET, _FLOW, _ZONES, _OBS.replace("from calm s join", "from (from calm where floor(x)::bigint % 8 = 0 and floor(y)::bigint % 8 = 0) s join")),
     "scenario_phase": _q("select event_id, label, inflow, west_share from events join ph on event_id % 400 >= start_s and event_id % 400 < until_s", _PHASES),
     "spawn_schedule": _q("select t, arrived, arrived - coalesce(lag(arrived) over (order by t), 0) spawned from (select t::double t, floor(sum(inflow * greatest(0, least(t, until_s) - start_s)) + 1e-9)::bigint arrived from (select unnest(range(1, 401)) t), ph group by t)", _PHASES),
     "truth_points": _q("select event_id, round(x / 32 / (1 + y / 1088), 6) gx, round(y / 32 / (1 + y / 1088), 6) gy from det", _DET),

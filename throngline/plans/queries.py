@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import DEFAULT_SCENE
 from ..functions import geometry as G
-from ..operators import alerts, crowd, epochs, flow, heat, risk, state, zones
+from ..operators import alerts, crowd, epochs, evidence, flow, heat, risk, select, state, status, zones
 from ..sources import bridge, store
 from ..sources.stored import Steps
 
@@ -279,14 +279,75 @@ def audit_tail(spark, d):
     return store.audit_tail(log, 50)
 
 
+def _agents(spark, d):
+    """The people of a day on one ground, 32 pixels a metre."""
+    return _points(spark, d).select(F.floor(F.col("frame") / 24).alias("frame"), F.col("event_id").alias("id"), (F.col("x") / 32).alias("x"), (F.col("y") / 32).alias("y"))
+
+
 def radius_neighbours(spark, d):
-    a = _points(spark, d).select("frame", F.col("event_id").alias("id"), (F.col("x") / 32).alias("x"), (F.col("y") / 32).alias("y"))
-    return _r(crowd.neighbours(a, 1.0), "gap")
+    return _r(crowd.neighbours(_agents(spark, d), 1.0), "gap")
 
 
 def local_density(spark, d):
-    a = _points(spark, d).select("frame", F.col("event_id").alias("id"), (F.col("x") / 32).alias("x"), (F.col("y") / 32).alias("y"))
-    return _r(crowd.local_density(a), "density", "speed")
+    return _r(crowd.local_density(_agents(spark, d)), "density", "speed")
+
+
+def speed_profile(spark, d):
+    """A day's people: local densities and the speeds they allow, exact quantiles, and how many can't move."""
+    a = Steps(spark).keep("agents", crowd.local_density(_agents(spark, d)))
+    q = select.quantiles(a, "frame", {"speed_p50": ("speed", 0.5), "speed_p90": ("speed", 0.9), "speed_max": ("speed", 1.0), "density_p50": ("density", 0.5), "density_p95": ("density", 0.95), "density_max": ("density", 1.0)}, Steps(spark))
+    m = a.groupBy("frame").agg(F.avg("speed").alias("speed_mean"), F.avg("density").alias("density_mean"), F.count_if(F.col("density") >= crowd.JAM_DENSITY).alias("jammed"))
+    both = q.join(m, "frame").withColumnRenamed("frame", "day")
+    return _r(both, *[c for c in both.columns if c.startswith(("speed", "density"))])
+
+
+def density_histogram(spark, d):
+    """People by local density, 16 bins from 0 to 8 a square metre; below and beyond have bins of their own."""
+    a = crowd.local_density(_agents(spark, d)).withColumn("bin", F.width_bucket("density", F.lit(0.0), F.lit(8.0), F.lit(16)))
+    return a.groupBy(F.col("frame").alias("day"), "bin").agg(F.count("*").alias("people"))
+
+
+def _kept_frames(spark, d):
+    """The newest frame of every six hours, as they would be kept for evidence."""
+    newest = bridge.latest_per_bucket(bridge.events(spark, d), 6 * 3600).select("event_id")
+    return bridge.detections(bridge.events(spark, d)).join(newest, "event_id", "left_semi").select("frame", "t")
+
+
+QUICK = replace(TH, dwell_s=5.0, resolve_s=4.0, reassert_gap_s=12.0)
+
+
+def _captures(spark, d):
+    return evidence.captured(alerts.numbered(alerts.events(_assessed(spark, d), QUICK), ZONE_IDS), _kept_frames(spark, d))
+
+
+def evidence_captured(spark, d):
+    """Every firing and escalation with the last kept frame at or before it."""
+    return _captures(spark, d)
+
+
+def evidence_requests(spark, d):
+    """View events as requests for evidence, some by bad names; evidence is kept for 240 s of the table's clock (a second an hour)."""
+    name = F.when(F.col("value") < 5, F.concat(F.lit("x"), F.col("event_id"))).otherwise(F.concat(F.lit("a"), F.col("event_id") % 60))
+    asked = _points(spark, d).where("event_type = 'view'").select(F.col("event_id").alias("id"), name.alias("alert_id"), "t")
+    return evidence.answered(asked, Steps(spark).keep("captures", _captures(spark, d)), 240.0)
+
+
+def feed_status(spark, d):
+    """Each kind of event as a feed: its age at every sampled frame, stale or not, and the banner that would be shown."""
+    p = _points(spark, d)
+    f = status.feeds(zones.frames(p), p.select("t", F.col("event_type").alias("source")))
+    return f.withColumn("banner", status.banner(F.lit(bool(SCENE.image_points)), ~F.col("stale"), F.lit(len(SCENE.zones))))
+
+
+def scene_summary(spark, d):
+    s = flow.smoothed(_state(spark, d, SCENE.corridors), "count", "density")
+    return status.summary(_assessed(spark, d), state.corridor_status(s, TH))
+
+
+def flow_on_grid(spark, d):
+    """Zone flow of the samples on the flow grid of eight pixels alone."""
+    f = flow.zone_flow(flow.on_grid(_samples(spark, d)), SCENE.zones, zones.frames(_points(spark, d)), G.ground(SCENE))
+    return _r(_off_ties(f, "speed").select("frame", "zone_id", "speed", "variance"), "speed", "variance")
 
 
 def scenario_phase(spark, d):
@@ -311,6 +372,7 @@ QUERIES = {f.__name__: f for f in (
     density_regrid, heat_cells, heat_lut, band_legend, detection_splat, blob_components, dark_mask, blob_density, density_field, heat_published, alert_counts, announced_once, flow_jitter_removed, zone_flow, observations,
     density_slope, scene_epochs, risk_signals, signals_long, zone_states, assess_scene, risk_changes, latest_per_zone, zones_worst_first, corridor_status, totals, count_error, fps_ewma,
     alert_events, alert_events_quick, alerts_current, alerts_live, alerts_recent, alert_feed, max_alert_seq, retention_purge, audit_tail, radius_neighbours, local_density,
+    speed_profile, density_histogram, evidence_captured, evidence_requests, feed_status, scene_summary, flow_on_grid,
     scenario_phase, spawn_schedule, truth_points,
 )}
 
