@@ -292,10 +292,13 @@ def components(links: DataFrame, tables: Tables, name: str) -> DataFrame:
 def _sets(nodes: DataFrame, heads: DataFrame, texts: DataFrame, tables: Tables, name: str) -> DataFrame:
     """(node, items) of the nodes. A class's set is made from the text of its first row, found by its id and the hash of its text.
 
-    The nodes are a table of known size: Spark sends a small one to the texts (up to spark.sql.autoBroadcastJoinThreshold), a larger one is joined by a shuffle.
+    The texts are cut down first by a short mark of that hash, a table of four bytes a node whose size is known: Spark sends a small one to the texts
+    (up to spark.sql.autoBroadcastJoinThreshold), a larger one is joined by a shuffle. What is left is of the nodes' own size.
     """
     wanted = tables.keep(f"{name}_wanted", heads.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h")).join(nodes.distinct(), "node", "left_semi"))
-    found = texts.join(wanted, ["doc_id", "h"]).groupBy("node").agg(F.min("text").alias("text"))
+    marks = tables.keep(f"{name}_marks", wanted.select(F.hash("h").alias("mark")).distinct())
+    few = texts.withColumn("mark", F.hash("h")).join(marks, "mark", "left_semi")
+    found = few.join(wanted, ["doc_id", "h"]).groupBy("node").agg(F.min("text").alias("text"))
     return tables.keep(name, found.select("node", packed("text").alias("items")))
 
 
@@ -374,7 +377,7 @@ def _classified(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     of = tables.keep("of", heads.join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"), "first.doc_id"))
     least = tables.keep("least", of.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     classes = tables.keep("classes", of.join(least, "comp").select("key", "component_id"))
-    tables.drop("heads", "entries", "pairs", "links_nodes_wanted", "links_nodes", "links", "comps", "live", "left", "more_families", "more_tiles", "more_nodes_wanted", "more_nodes", "more", "roots", "of", "least")
+    tables.drop("heads", "entries", "pairs", "links_nodes_wanted", "links_nodes_marks", "links_nodes", "links", "comps", "live", "left", "more_families", "more_tiles", "more_nodes_wanted", "more_nodes_marks", "more_nodes", "more", "roots", "of", "least")
     out = rows.select("doc_id", "h", F.col("n").alias("n_shingles"), "key").join(classes, "key", "left")
     return out.select("doc_id", "h", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
