@@ -50,6 +50,9 @@ def test_store(spark, tmp_path):
     store.save_scene(spark, DEFAULT_SCENE, f"{tmp_path}/scene")
     assert store.load_scene(spark, f"{tmp_path}/scene") == DEFAULT_SCENE
     assert store.load_scene(spark, f"{tmp_path}/none") == DEFAULT_SCENE
+    for k, broken in enumerate(("{oops", '{"name": "x"}', "[1]", "")):
+        (tmp_path / f"broken{k}").write_text(broken)
+        assert store.load_scene(spark, f"{tmp_path}/broken{k}") == DEFAULT_SCENE
     (tmp_path / "presets").mkdir()
     (tmp_path / "presets/b.json").write_text(DEFAULT_SCENE.to_json())
     (tmp_path / "presets/a.json").write_text("{broken")

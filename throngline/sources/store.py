@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import DEFAULT_SCENE, Scene
@@ -23,10 +24,16 @@ def save_scene(spark: SparkSession, scene: Scene, path: str) -> None:
 
 
 def load_scene(spark: SparkSession, path: str, default: Scene = DEFAULT_SCENE) -> Scene:
-    """The stored scene; a missing or unreadable one counts as not stored."""
+    """The stored scene; a missing or broken document counts as not stored. Any other failure, such as a refused permission, is raised."""
     try:
-        return Scene.from_json(spark.read.text(path, wholetext=True).first()[0])
-    except Exception:  # a broken document is as good as none
+        row = spark.read.text(path, wholetext=True).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return default
+    try:
+        return default if row is None else Scene.from_json(row[0])
+    except (ValueError, KeyError, TypeError, AttributeError):  # no scene in it
         return default
 
 
