@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,10 +187,73 @@ def test_language(spark):
     got = langid.op4(spark, SMALL).join(docs, "doc_id").where("held_out and lang is not null and lang_pred <> 'und'")
     n, right = got.agg(F.count("*"), F.count_if(F.col("lang") == F.col("lang_pred"))).first()
     assert n > 20 and right / n > 0.95
+    alone = {t: langid.Code(["a", "b"], np.arange(2 * langid._CELLS).reshape(2, -1) % 7 + 1.0).decode([t]) for t in (b"one", b"two words", b"")}
+    assert all(langid.Code(["a", "b"], np.arange(2 * langid._CELLS).reshape(2, -1) % 7 + 1.0).decode([t, b"zzz", t])[::2] == alone[t] * 2 for t in alone)  # no text depends on the next one
     code = langid.codewords(40)
     assert len({tuple(w) for w in code.tolist()}) == 40
 
 
+def language_twin(rows):
+    """lang_pred, score of (doc_id, text, lang) rows by plain loops: n-grams counted in dictionaries, bits and codewords one by one."""
+    import math
+    import zlib
+
+    def grams(text):
+        folded = b" ".join([*bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in text.lower().encode()).split(), b"   "])
+        folded = b"   " + folded
+        for k, n in enumerate((2, 3, 4)):
+            for i in range(len(folded)):
+                h = 0
+                for c in (folded + b"   ")[i : i + n]:
+                    h = (h * 0x100000001B3 + c + 1) % 2**64
+                yield k, (h * 0x9E3779B97F4A7C15 % 2**64) >> 51
+        yield None, len(folded)
+
+    learn = [(t, la) for i, t, la in rows if zlib.crc32(str(i).encode()) % 4 != 2 and t is not None and la is not None]
+    langs = sorted({la for _, la in learn})
+    counts = {la: Counter() for la in langs}
+    for t, la in learn:
+        counts[la].update(g for g in grams(t) if g[0] is not None)
+    totals = {(la, k): sum(n + 0.0 for g, n in counts[la].items() if g[0] == k) + 0.5 * 8192 for la in langs for k in range(3)}
+    share = lambda la, g: (counts[la][g] + 0.5) / totals[la, g[0]]
+    splits = range(1, 2 ** (len(langs) - 1))
+    side = lambda la, s: s >> langs.index(la) & 1
+    known: dict = {}
+
+    def ratio(g, s):
+        if (g, s) not in known:
+            means = [sum(own) / len(own) for own in ([share(la, g) for la in langs if side(la, s) == w] for w in (1, 0))]
+            known[g, s] = round(1000 * math.log(means[0] / means[1]))
+        return known[g, s]
+
+    def margins(t):
+        own = list(grams(t))
+        return [sum(ratio(g, s) for g in own if g[0] is not None) / (1000 * 3 * own[-1][1]) for s in splits]
+
+    right = [[m * (1 if side(la, s) else -1) > 0 for m, s in zip(margins(t), splits)] for t, la in learn]
+    weights = [round(min(1.0, max(0.05, 2 * (sum(r[b] for r in right) + 1) / (len(right) + 2) - 1)), 4) for b in range(len(splits))]
+    out = {}
+    for i, t, _ in rows:
+        if not t or not any(map(str.isalpha, t)):
+            out[i] = ("und", 0.0)
+            continue
+        m = margins(t)
+        loss = {la: sum(w * math.log1p(math.exp(-6.0 * x * (1 if side(la, s) else -1))) for w, x, s in zip(weights, m, splits)) for la in langs}
+        best = min(langs, key=lambda la: (loss[la], la))
+        out[i] = (best, round(1 / sum(math.exp(loss[best] - v) for v in loss.values()), 6))
+    return out
+
+
+def test_language_against_loops(spark):
+    rows = [(r["doc_id"], r["text"] and r["text"][:400], r["lang"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").limit(90).collect()] + [(10**6, None, "en"), (10**6 + 1, "12 !", "en"), (10**6 + 2, "Straße Élan", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held_out", langid.held_out())
+    got = langid.identify(docs, langid.fit(docs.where("not held_out"))).select("doc_id", "language.lang", "language.score").collect()
+    want = language_twin(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["lang"] == want[r["doc_id"]][0] and r["score"] == pytest.approx(want[r["doc_id"]][1], abs=2e-6)
+
+
 def test_html_pages(spark):
     import html as references
 

@@ -59,19 +59,22 @@ def codewords(n_langs: int) -> np.ndarray:
 def _cells(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each n-gram of the texts, and where each text's own begin (one more entry at the end).
 
-    Texts stand one after another in a buffer, with spaces between; an n-gram belongs to the text its first byte is in.
+    Texts stand one after another in a buffer; an n-gram belongs to the text its first byte is in. Each begins with as many spaces as
+    an n-gram can reach beyond its text, and so does what follows the last one: no text counts in another's n-grams.
     """
-    folded = [b" ".join([b"", *t.translate(_FOLD).split(), b""]) + b"   " for t in texts]
+    pad = b" " * (max(LENGTHS) - 1)
+    folded = [pad + b" ".join([*t.translate(_FOLD).split(), pad]) for t in texts]
     starts = np.cumsum([0] + [len(t) for t in folded])
-    raw = np.frombuffer(b"".join(folded), dtype=np.uint8).astype(np.uint64)
-    out = np.empty((len(LENGTHS), len(raw)), dtype=np.int64)
+    raw = np.frombuffer(b"".join([*folded, pad]), dtype=np.uint8).astype(np.uint64)
+    size = len(raw) - len(pad)
+    out = np.empty((len(LENGTHS), size), dtype=np.int64)
     for k, n in enumerate(LENGTHS):
         h = np.zeros(len(raw), dtype=np.uint64)
         for j in range(n):
             h *= np.uint64(0x100000001B3)
             h[: len(raw) - j] += raw[j:] + np.uint64(1)
         h *= np.uint64(0x9E3779B97F4A7C15)
-        out[k] = (h >> np.uint64(64 - 13)).astype(np.int64) + k * BUCKETS
+        out[k] = (h[:size] >> np.uint64(64 - 13)).astype(np.int64) + k * BUCKETS
     return out, starts
 
 
