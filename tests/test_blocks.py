@@ -177,6 +177,14 @@ def test_flow_deals_no_samples(spark):
     assert queries.QUERIES["zone_flow"](spark, SMALL).count() > 0
 
 
+def test_both_forms_of_the_median_agree(spark, monkeypatch):
+    samples = bridge.flow_samples(bridge.detections(bridge.events(spark, SMALL)))
+    show = lambda: sorted((r["event_id"], r["static"], round(r["dx"], 9), round(r["dy"], 9)) for r in flow.remove_jitter(samples).collect())
+    direct = show()
+    monkeypatch.setattr(flow, "DIRECT", 0)
+    assert show() == direct
+
+
 def by_loops(cells):
     left, out = set(cells), {}
     while left:

@@ -15,6 +15,8 @@ from .zones import grid, membership, with_density
 STATIC_SHARE, STATIC_LEAST, SMOOTH = 0.02, 0.15, 5
 #: Frames of a block of the smoothing.
 SMOOTH_BLOCK = 512
+#: Samples of a frame whose medians are aggregated at once.
+DIRECT = 1 << 16
 
 
 def remove_jitter(samples: DataFrame) -> DataFrame:
@@ -22,13 +24,20 @@ def remove_jitter(samples: DataFrame) -> DataFrame:
 
     A frame with less than 15 % static samples stays as it is. Adds static, jitter_x, jitter_y. The samples are read
     anew for each of the small tables that come from them (a row or two a frame), and meet them by joins on the frame: while Spark
-    finds a table small enough to send, no sample is shuffled, and the samples of a frame never meet in one task.
+    finds a table small enough to send, no sample is shuffled. Medians of frames of up to DIRECT samples are aggregated, combined before the shuffle; where a
+    frame has more, they are selected by histograms, so that its samples never meet in one task. Both are exact.
     """
     steps = Steps(samples.sparkSession)
     top = steps.keep("top", samples.groupBy("frame").agg(F.max("weight").alias("_top"), F.count("*").alias("_all")))
     static = F.when(F.col("_top") <= 0, F.col("weight") < 1e-6).otherwise(F.col("weight") < STATIC_SHARE * F.col("_top"))
     s = samples.join(top.select("frame", "_top"), "frame").withColumn("static", F.coalesce(static, F.lit(False)))
-    middle = steps.keep("middle", select.medians(s.where("static").select("frame", "dx", "dy"), "frame", ("dx", "dy"), steps))
+    still = s.where("static").select("frame", "dx", "dy")
+    most = top.agg(F.max("_all")).first()[0] or 0
+    if most <= DIRECT:  # a frame's values fit in one aggregation buffer
+        half = lambda c: F.percentile(F.when(~F.isnan(c), F.col(c)), F.lit(0.5)).alias(c)
+        middle = still.groupBy("frame").agg(F.count("*").alias("n"), half("dx"), half("dy"))
+    else:
+        middle = steps.keep("middle", select.medians(still, "frame", ("dx", "dy"), steps))
     frame = top.join(middle, "frame", "left")
     on = F.coalesce(F.col("n") / F.col("_all") >= STATIC_LEAST, F.lit(False))
     frame = steps.keep("jitter", frame.select("frame", *[F.when(on, F.coalesce(c, F.lit(0.0))).otherwise(0.0).alias(n) for c, n in (("dx", "jitter_x"), ("dy", "jitter_y"))]))
