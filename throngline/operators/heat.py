@@ -16,6 +16,8 @@ ANCHORS = ((0.0, 150, 200, 120), (2.0, 120, 220, 235), (3.0, 60, 170, 250), (4.0
 TOP_DENSITY, COLOURS = 7.0, 256
 #: Cells of a tile's side when components are joined.
 TILE = 64
+#: Pixels along a side of the tiles that splats are summed in.
+SPLAT_TILE = 128
 #: Seconds of a block of publications.
 PUBLISH_BLOCK_S = 3600.0
 # Fixed values of the opacity: two slopes (density they start at, length, height) and the highest value.
@@ -56,17 +58,25 @@ def legend(spark: SparkSession, th: Thresholds) -> DataFrame:
 
 
 def splat(boxes: DataFrame, width: int, height: int) -> DataFrame:
-    """Detections (frame, box, cx, cy, w, h) as Gaussian patches of mass 1 each, clipped to the frame, summed by pixel."""
+    """Detections (frame, box, cx, cy, w, h) as Gaussian patches of mass 1 each, clipped to the frame, summed by pixel.
+
+    Equal boxes of a frame are drawn once. Boxes, not their pixels, are shuffled: to the tiles of a frame that their patches touch.
+    """
     b = boxes.withColumn("sigma", F.greatest(F.lit(2.0), F.least("w", "h") / 4.0)).withColumn("r", F.floor(3 * F.col("sigma")).cast("long"))
     b = b.withColumn("ix", F.floor("cx").cast("long")).withColumn("iy", F.floor("cy").cast("long"))
-    xs = F.sequence(F.greatest(F.col("ix") - F.col("r"), F.lit(0)), F.least(F.col("ix") + F.col("r"), F.lit(width - 1)))
-    ys = F.sequence(F.greatest(F.col("iy") - F.col("r"), F.lit(0)), F.least(F.col("iy") + F.col("r"), F.lit(height - 1)))
+    b = b.where((F.col("ix").between(0, width - 1)) & (F.col("iy").between(0, height - 1))).groupBy("frame", "ix", "iy", "sigma", "r").agg(F.count("*").alias("n"))
+    ends = lambda c, size: (F.greatest(F.col(c) - F.col("r"), F.lit(0)), F.least(F.col(c) + F.col("r"), F.lit(size - 1)))
+    (x0, x1), (y0, y1) = ends("ix", width), ends("iy", height)
     weight = lambda k, c: F.exp(-F.pow(k - c, 2) / (2 * F.col("sigma") * F.col("sigma")))
     # the Gaussian is a product, so its total over the patch is the product of two sums: no window over the pixels
     total = lambda a, c: F.aggregate(a, F.lit(0.0), lambda s, k: s + weight(k, F.col(c)))
-    b = b.where((F.col("ix").between(0, width - 1)) & (F.col("iy").between(0, height - 1)))
-    b = b.withColumn("sx", total(xs, "ix")).withColumn("sy", total(ys, "iy")).withColumn("x", F.explode(xs)).withColumn("y", F.explode(ys))
-    return b.groupBy("frame", "x", "y").agg(F.sum(weight(F.col("x"), F.col("ix")) * weight(F.col("y"), F.col("iy")) / (F.col("sx") * F.col("sy"))).alias("mass"))
+    b = b.withColumn("unit", F.col("n") / (total(F.sequence(x0, x1), "ix") * total(F.sequence(y0, y1), "iy")))
+    tiles = lambda lo, hi: F.explode(F.sequence(F.floor(lo / SPLAT_TILE), F.floor(hi / SPLAT_TILE)))
+    b = b.withColumn("tx", tiles(x0, x1)).withColumn("ty", tiles(y0, y1))
+    b = b.repartition(int(b.sparkSession.conf.get("spark.sql.shuffle.partitions")), "frame", "tx", "ty")
+    inside = lambda lo, hi, t: F.sequence(F.greatest(lo, F.col(t) * SPLAT_TILE), F.least(hi, F.col(t) * SPLAT_TILE + SPLAT_TILE - 1))
+    b = b.withColumn("x", F.explode(inside(x0, x1, "tx"))).withColumn("wx", F.col("unit") * weight(F.col("x"), F.col("ix"))).withColumn("y", F.explode(inside(y0, y1, "ty")))
+    return b.groupBy("frame", "tx", "ty", "x", "y").agg(F.sum(F.col("wx") * weight(F.col("y"), F.col("iy"))).alias("mass")).drop("tx", "ty")
 
 
 def _joined_in_tile(cells: pd.DataFrame) -> pd.DataFrame:
