@@ -31,3 +31,14 @@ def test_equal_boxes_are_drawn_once(spark):
     got = {(r["frame"], r["x"], r["y"]): r["mass"] for r in found.collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+
+
+def test_pairs_of_people_on_few_places(spark):
+    """All pairs, of parts of one place too; a distance is worked out once for a pair of places."""
+    spots = ((0.5, 0.5), (1.25, 0.5), (2.0, 0.5), (0.75, 1.25), (-0.25, 0.75))
+    rows = [(0, i, *spots[0 if i < 1100 else i % 5]) for i in range(1200)] + [(1, 1, 0.5, 0.5), (1, 2, None, 0.5)]
+    found = crowd.neighbours(spark.createDataFrame(rows, "frame long, id long, x double, y double"), 1.0)
+    want = {(0, p[1], q[1]) for n, p in enumerate(rows[:1200]) for q in rows[n + 1 : 1200] if math.hypot(p[2] - q[2], p[3] - q[3]) <= 1}
+    got = [(r["frame"], r["a"], r["b"]) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "collect_list" in found._jdf.queryExecution().optimizedPlan().toString()
