@@ -289,16 +289,25 @@ def components(links: DataFrame, tables: Tables, name: str) -> DataFrame:
     return both
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """A side of a join that is sorted and merged, never sent whole.
+
+    Spark takes the compressed files of a table for its size, and those of the rows before an `explode` for the size after it: it would send
+    millions of rows, collected on the driver, for less than spark.sql.autoBroadcastJoinThreshold.
+    """
+    return side.hint("merge")
+
+
 def _sets(nodes: DataFrame, heads: DataFrame, texts: DataFrame, tables: Tables, name: str) -> DataFrame:
     """(node, items) of the nodes. A class's set is made from the text of its first row, found by its id and the hash of its text.
 
     The texts are cut down first by a short mark of that hash, a table of four bytes a node whose size is known: Spark sends a small one to the texts
     (up to spark.sql.autoBroadcastJoinThreshold), a larger one is joined by a shuffle. What is left is of the nodes' own size.
     """
-    wanted = tables.keep(f"{name}_wanted", heads.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h")).join(nodes.distinct(), "node", "left_semi"))
+    wanted = tables.keep(f"{name}_wanted", heads.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h")).join(merged(nodes.distinct()), "node", "left_semi"))
     marks = tables.keep(f"{name}_marks", wanted.select(F.hash("h").alias("mark")).distinct())
     few = texts.withColumn("mark", F.hash("h")).join(marks, "mark", "left_semi")
-    found = few.join(wanted, ["doc_id", "h"]).groupBy("node").agg(F.min("text").alias("text"))
+    found = few.join(merged(wanted), ["doc_id", "h"]).groupBy("node").agg(F.min("text").alias("text"))
     return tables.keep(name, found.select("node", packed("text").alias("items")))
 
 
@@ -306,25 +315,25 @@ def _verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame, tables: Tabl
     """The pairs (a, b) whose sets are linked."""
     few = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), heads, texts, tables, f"{name}_nodes")
     left, right = (few.select(F.col("node").alias(k), F.col("items").alias(f"items_{k}")) for k in "ab")
-    return tables.keep(name, pairs.join(right, "b").join(left, "a").where(linked("items_a", "items_b")).select("a", "b"))
+    return tables.keep(name, pairs.join(merged(right), "b").join(merged(left), "a").where(linked("items_a", "items_b")).select("a", "b"))
 
 
 def _crossed(attached: DataFrame, comps: DataFrame, heads: DataFrame, texts: DataFrame, tables: Tables, name: str) -> DataFrame:
     """Links of the stragglers (main, node, comp) with the component `main` and with each other, compared in tiles."""
-    n = heads.select("node", "n")
+    n = merged(heads.select("node", "n"))
     size = comps.join(n, "node").groupBy(F.col("comp").alias("main")).agg(F.sum("n").alias("c"))
-    own = n.withColumnsRenamed({"node": "main", "n": "alone"})  # a component of one document has no row in comps
+    own = heads.select(F.col("node").alias("main"), F.col("n").alias("alone"))  # a component of one document has no row in comps
     families = attached.join(n, "node").groupBy("main").agg(F.count("*").alias("k"), F.sum("n").alias("kn")).join(size, "main", "left").join(own, "main")
     families = families.select("main", F.ceil(F.col("k") / TILE[1]).cast("int").alias("na"), F.ceil((F.col("kn") + F.coalesce("c", "alone")) / TILE[0]).cast("int").alias("nb"))
     families = tables.keep(f"{name}_families", families)
-    given = attached.join(families, "main")
-    inside = comps.withColumn("main", F.col("comp")).join(families, "main").select("main", "node", "comp", "na", "nb")
+    given = attached.join(merged(families), "main")
+    inside = comps.withColumn("main", F.col("comp")).join(merged(families), "main").select("main", "node", "comp", "na", "nb")
     alone = families.select("main", F.col("main").alias("node"), F.col("main").alias("comp"), "na", "nb")
     members = inside.unionByName(alone).unionByName(given.select("main", "node", "comp", "na", "nb")).distinct()
     members = members.select("main", "node", "comp", F.lit(0).alias("side"), F.explode(F.expr("sequence(0, na - 1)")).alias("ta"), F.pmod(F.hash("node"), "nb").alias("tb"))
     streams = given.select("main", "node", "comp", F.lit(1).alias("side"), F.pmod(F.hash("node"), "na").alias("ta"), F.explode(F.expr("sequence(0, nb - 1)")).alias("tb"))
     laid = tables.keep(f"{name}_tiles", members.unionByName(streams))
-    rows = laid.join(_sets(laid.select("node"), heads, texts, tables, f"{name}_nodes"), "node").repartition("main", "ta", "tb").sortWithinPartitions("main", "ta", "tb", "side")
+    rows = laid.join(merged(_sets(laid.select("node"), heads, texts, tables, f"{name}_nodes")), "node").repartition("main", "ta", "tb").sortWithinPartitions("main", "ta", "tb", "side")
     kind = attached.schema["node"].dataType
     return tables.keep(name, rows.mapInArrow(tiles, T.StructType().add("a", kind).add("b", kind)))
 
@@ -349,17 +358,17 @@ def _classified(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     spread = heads.select(F.explode("bands").alias("bucket"), "node")
     held = spread.groupBy("bucket").agg(F.count("*").alias("c"), F.min("node").alias("first")).where("c > 1").select("bucket", "first", "c", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
     place = lambda node: F.pmod(F.hash("bucket", node), F.col("parts"))
-    entries = tables.keep("entries", spread.join(held, "bucket").select("bucket", "node", "c", "parts", place("node").alias("block"), "first"))
+    entries = tables.keep("entries", spread.join(merged(held), "bucket").select("bucket", "node", "c", "parts", place("node").alias("block"), "first"))
     firsts = entries.where("parts > 1 and node = first").select("bucket", "node", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"), "block").where("other <> block").select("bucket", "node", F.col("other").alias("block"))
     marks = heads.select("node", "n", "mini")
-    wide = entries.select("bucket", "node", "block").unionByName(firsts).join(marks, "node").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "node")
+    wide = entries.select("bucket", "node", "block").unionByName(firsts).join(merged(marks), "node").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "node")
     pairs = tables.keep("pairs", wide.mapInArrow(nearest, pair).distinct())
     texts = own.where("doc_id is not null")
     links = _verified(pairs, heads, texts, tables, "links")
     comps = components(links, tables, "comps")
     # what is left: stragglers of larger buckets with several components
-    state = marks.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    live = tables.keep("live", entries.where(F.col("c") > SMALL).select("bucket", "node", "parts", "block").join(state, "node"))
+    state = marks.join(merged(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    live = tables.keep("live", entries.where(F.col("c") > SMALL).select("bucket", "node", "parts", "block").join(merged(state), "node"))
     tally = live.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("most"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("most.comp").alias("main"))
     live = live.join(tally, "bucket")
     both = live.withColumn("role", F.lit(0)).unionByName(live.where("comp <> main").withColumn("block", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("role", F.lit(1)))
@@ -369,16 +378,16 @@ def _classified(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         more = _crossed(left, comps, heads, texts, tables, "more")
         ends = (comps.select(F.col("node").alias(k), F.col("comp").alias(f"comp_{k}")) for k in "ab")
         for k, end in zip("ab", ends, strict=True):
-            more = more.join(end, k, "left").withColumn(k, F.coalesce(f"comp_{k}", k)).drop(f"comp_{k}")
+            more = more.join(merged(end), k, "left").withColumn(k, F.coalesce(f"comp_{k}", k)).drop(f"comp_{k}")
         roots = components(more, tables, "roots").select(F.col("node").alias("comp"), F.col("comp").alias("root"))
         # a root's component may be a single document without a link of step 1
-        single = roots.join(comps.select("comp").distinct(), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("root").alias("comp"))
-        comps = comps.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")).unionByName(single)
-    of = tables.keep("of", heads.join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"), "first.doc_id"))
+        single = roots.join(merged(comps.select("comp").distinct()), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("root").alias("comp"))
+        comps = comps.join(merged(roots), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")).unionByName(single)
+    of = tables.keep("of", heads.join(merged(comps), "node", "left").select("key", F.coalesce("comp", "node").alias("comp"), "first.doc_id"))
     least = tables.keep("least", of.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
-    classes = tables.keep("classes", of.join(least, "comp").select("key", "component_id"))
+    classes = tables.keep("classes", of.join(merged(least), "comp").select("key", "component_id"))
     tables.drop("heads", "entries", "pairs", "links_nodes_wanted", "links_nodes_marks", "links_nodes", "links", "comps", "live", "left", "more_families", "more_tiles", "more_nodes_wanted", "more_nodes_marks", "more_nodes", "more", "roots", "of", "least")
-    out = rows.select("doc_id", "h", F.col("n").alias("n_shingles"), "key").join(classes, "key", "left")
+    out = rows.select("doc_id", "h", F.col("n").alias("n_shingles"), "key").join(merged(classes), "key", "left")
     return out.select("doc_id", "h", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
