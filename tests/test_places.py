@@ -42,3 +42,14 @@ def test_pairs_of_people_on_few_places(spark):
     got = [(r["frame"], r["a"], r["b"]) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert "collect_list" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_distances_are_rounded_before_pairs_are_made(spark):
+    """A distance of two places is rounded below the explodes, and lists of people are never sent, however short they seem."""
+    rows = [(0, i, i % 7 / 4, i % 5 / 4) for i in range(700)]
+    found = crowd.neighbours(spark.createDataFrame(rows, "frame long, id long, x double, y double"), 1.0, digits=6)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("round(") > plan.index("explode(aids") > plan.index("explode(bids")
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {(p[1], q[1], round(math.hypot(p[2] - q[2], p[3] - q[3]), 6)) for n, p in enumerate(rows) for q in rows[n + 1 :] if math.hypot(p[2] - q[2], p[3] - q[3]) <= 1}
+    assert sorted((r["a"], r["b"], r["gap"]) for r in found.collect()) == sorted(want)
